@@ -23,6 +23,3 @@ def local_session(cores: str = "*", app: str = "wardline", **extra: str) -> Spar
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """Shared checkpoint folder named by the cluster, if any."""
-    return spark.conf.get("spark.checkpoint.dir", None)
