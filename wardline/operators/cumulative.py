@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.sources.tables import stored
+
 BLOCK_ROWS = 250_000
 _INFINITE_CELL = 1 << 40
 
@@ -47,6 +49,7 @@ def running_counts(
     *,
     bounded_keys: bool = True,
     block_rows: int = BLOCK_ROWS,
+    store: bool = True,
 ) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running sum in value order) and ``total_<c>`` per key.
 
@@ -55,9 +58,10 @@ def running_counts(
     (features, batches), so a table of cells per key may be broadcast; with data-dependent keys
     (segments) leave it False and Spark chooses the join.
 
-    Every use of ``values`` below needs all of its columns, so Spark reuses one exchange for all of them.
+    ``values`` is read three times, so it is stored first (one job); ``store=False`` says it already is.
     """
     keys = list(keys)
+    values = stored(values, "values") if store else values
     x = F.col(value)
     celled = values.withColumn("_cell", F.coalesce(value_cell(x), F.lit(-(1 << 41))))
     cell_sums = celled.groupBy(*keys, "_cell").agg(
@@ -80,19 +84,15 @@ def running_counts(
     placed = celled.join(_bounded(cells, bounded_keys), [*keys, "_cell"]).withColumn("_part", part.cast("long"))
     block = [*keys, "_cell", "_part"]
     in_cell = Window.partitionBy(*keys, "_cell").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # The cell offset rides along here and the totals below, so neither use of ``cells`` is pruned apart.
     parts = (
         placed.groupBy(*block)
-        .agg(*[F.sum(c).alias(f"_sum_{c}") for c in counts], *[F.any_value(f"_cell_{c}").alias(f"_at_{c}") for c in counts])
-        .select(
-            *block,
-            *[(F.col(f"_at_{c}") + F.coalesce(F.sum(f"_sum_{c}").over(in_cell), F.lit(0))).alias(f"_start_{c}") for c in counts],
-        )
+        .agg(*[F.sum(c).alias(f"_sum_{c}") for c in counts])
+        .select(*block, *[F.coalesce(F.sum(f"_sum_{c}").over(in_cell), F.lit(0)).alias(f"_part_{c}") for c in counts])
     )
     upto = Window.partitionBy(*block).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return placed.join(parts, block).select(
         *values.columns,
-        *[(F.sum(c).over(upto) + F.col(f"_start_{c}")).alias(f"cum_{c}") for c in counts],
+        *[(F.sum(c).over(upto) + F.col(f"_cell_{c}") + F.col(f"_part_{c}")).alias(f"cum_{c}") for c in counts],
         *[f"total_{c}" for c in counts],
     )
 

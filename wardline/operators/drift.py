@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wardline.functions import status as st
 from wardline.functions.scalar import number
 from wardline.operators.cumulative import exact_quantiles, quantiles_from_hits, rank_hits, running_counts
+from wardline.sources.tables import stored
 
 REFERENCE, CURRENT = "reference", "current"
 
@@ -229,8 +230,7 @@ def ks_pvalue(statistic: Column, n: Column, m: Column) -> Column:
 
 
 def _seen_counts(counted: DataFrame) -> DataFrame:
-    """Counts with the missing-value row weighted 0. A filter instead would be pushed below the
-    aggregation and cost a second row-level shuffle."""
+    """Counts with the missing-value row weighted 0."""
     seen = F.col("value").isNotNull()
     return counted.select(
         "feature", "value", *[F.when(seen, F.col(f"n_{s}")).otherwise(F.lit(0)).alias(f"seen_{s}") for s in ("ref", "cur")]
@@ -270,12 +270,12 @@ def drift_report(
 ) -> DataFrame:
     """One row per feature (and one for the score): PSI, KS, statuses, means, null rates, counts.
 
-    Rows are shuffled once, as counts per (feature, value). Cut points, KS and means are one aggregate over
+    Rows are read and shuffled once, as counts per (feature, value), stored by one job. Cut points, KS and means are one aggregate over
     the running counts; PSI bins are a second aggregate over the same counts.
     """
     monitored = [*features, *([score] if score else [])]
-    counted = value_counts(df, monitored, batch)
-    running = running_counts(_seen_counts(counted), ["feature"], "value", ["seen_ref", "seen_cur"])
+    counted = stored(value_counts(df, monitored, batch), "value-counts")
+    running = running_counts(_seen_counts(counted), ["feature"], "value", ["seen_ref", "seen_cur"], store=False)
     probs = probabilities(policy.bins)
     total = F.col("total_seen_ref")
     stats = running.groupBy("feature").agg(

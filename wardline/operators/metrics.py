@@ -17,42 +17,49 @@ def _keys(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return df.withColumn("_all", F.lit("all")), ["_all"]
 
 
-def score_counts(df: DataFrame, by: Sequence[str], label: str, score: str) -> DataFrame:
-    """(segment, score, pos, neg): distinct scores only, combined map-side."""
+def score_counts(df: DataFrame, by: Sequence[str], label: str, score: str, extra: Sequence[Column] = ()) -> DataFrame:
+    """(segment, score, pos, neg, extra): distinct scores only, combined map-side."""
     y = F.col(label).cast("int")
     return (
         df.where(F.col(score).isNotNull() & y.isNotNull())
         .groupBy(*by, F.col(score).cast("double").alias("_score"))
-        .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
+        .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"), *extra)
     )
 
 
-def ranking_metrics(
-    df: DataFrame, by: Sequence[str] = (), label: str = "default_30d", score: str = "risk_probability", bounded: bool = False
-) -> DataFrame:
-    """ROC-AUC and average precision per segment.
+def ranking_aggregates() -> list[Column]:
+    """Aggregates over running counts of ``pos`` and ``neg``, finished by :func:`ranking_columns`.
 
     AUC counts half of each tie; average precision is the step sum over distinct scores, from the top.
     """
-    keyed, keys = _keys(df, by)
-    running = running_counts(
-        score_counts(keyed, keys, label, score), keys, "_score", ["pos", "neg"], bounded_keys=bounded or not by
-    )
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     below = F.col("cum_neg").cast("double") - neg
     top_pos = (F.col("total_pos") - F.col("cum_pos") + F.col("pos")).cast("double")
     top_neg = (F.col("total_neg") - F.col("cum_neg") + F.col("neg")).cast("double")
-    found = running.groupBy(*keys).agg(
+    return [
         F.sum(pos * (below + neg / 2.0)).alias("_wins"),
         F.sum(F.try_divide(pos * top_pos, top_pos + top_neg)).alias("_steps"),
         F.any_value("total_pos").alias("_p"),
         F.any_value("total_neg").alias("_n"),
-    )
-    return found.select(
-        *by,
+    ]
+
+
+def ranking_columns() -> list[Column]:
+    return [
         F.try_divide(F.col("_wins"), F.col("_p").cast("double") * F.col("_n")).alias("roc_auc"),
         F.try_divide(F.col("_steps"), F.col("_p")).alias("pr_auc"),
+    ]
+
+
+def ranking_metrics(
+    df: DataFrame, by: Sequence[str] = (), label: str = "default_30d", score: str = "risk_probability", bounded: bool = False
+) -> DataFrame:
+    """ROC-AUC and average precision per segment."""
+    keyed, keys = _keys(df, by)
+    running = running_counts(
+        score_counts(keyed, keys, label, score), keys, "_score", ["pos", "neg"], bounded_keys=bounded or not by
     )
+    return running.groupBy(*keys).agg(*ranking_aggregates()).select(*by, *ranking_columns())
 
 
 def threshold_aggregates(label: str = "default_30d", score: str = "risk_probability", threshold: float = 0.5) -> list[Column]:
@@ -105,12 +112,45 @@ def classification_metrics(
     watched: str | None = None,
     bounded: bool = False,
 ) -> DataFrame:
-    """All metrics per segment (or one row)."""
+    """All metrics per segment (or one row), from one pass over the rows.
+
+    Rows without a score or label are left out. Counts per distinct score carry everything the threshold
+    metrics need, so they are the only table the rest works on.
+    """
     keyed, keys = _keys(df, by)
-    flat = threshold_metrics(keyed, keys, label, score, threshold, watched)
-    ranked = ranking_metrics(keyed, keys, label, score, bounded=bounded or not by)
-    joined = flat.join(ranked, keys, "left").withColumn("decision_threshold", F.lit(float(threshold)))
-    return joined if by else joined.drop("_all")
+    gone = [F.count_if(F.col(watched).isNull()).alias("gone")] if watched else []
+    running = running_counts(
+        score_counts(keyed, keys, label, score, gone), keys, "_score", ["pos", "neg"], bounded_keys=bounded or not by
+    )
+    p, pos, neg = F.col("_score"), F.col("pos"), F.col("neg")
+    flag, rows = p >= threshold, F.sum(pos + neg)
+
+    def total(cond: Column, n: Column) -> Column:
+        return F.coalesce(F.sum(F.when(cond, n)), F.lit(0))
+
+    counted = running.groupBy(*keys).agg(
+        total(~flag, neg).alias("tn"),
+        total(flag, neg).alias("fp"),
+        total(~flag, pos).alias("fn"),
+        total(flag, pos).alias("tp"),
+        rows.alias("n_samples"),
+        (F.sum(pos * (p - 1.0) * (p - 1.0) + neg * p * p) / rows).alias("brier_score"),
+        *([(F.sum("gone").cast("double") / rows).alias("watched_null_rate")] if watched else []),
+        *ranking_aggregates(),
+    )
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    n = F.col("n_samples")
+    return counted.select(
+        *by, "tn", "fp", "fn", "tp", "n_samples", "brier_score",
+        ((tp + fp).cast("double") / n).alias("predicted_positive_rate"),
+        ((tp + fn).cast("double") / n).alias("target_rate"),
+        *(["watched_null_rate"] if watched else []),
+        _ratio0(tp, tp + fp).alias("precision"),
+        _ratio0(tp, tp + fn).alias("recall"),
+        _ratio0(2 * tp, 2 * tp + fp + fn).alias("f1"),
+        *ranking_columns(),
+        F.lit(float(threshold)).alias("decision_threshold"),
+    )
 
 
 def prediction_table(df: DataFrame, key: str = "application_id", label: str = "default_30d", score: str = "risk_probability") -> DataFrame:

@@ -206,24 +206,38 @@ def root_cause_metrics(
 ) -> DataFrame:
     """Thirteen fields per scenario: ranking and decision metrics, and flips against the healthy score.
 
-    ``baseline_score`` is a column of the same row, so flips need no join.
+    ``baseline_score`` is a column of the same row, so flips need no join. One pass over the rows makes
+    counts per (scenario, distinct score); every field comes from those.
     """
     was, now = F.col(baseline_score) < threshold, F.col(score) < threshold
-    y, p = F.col(label).cast("double"), F.col(score)
-    flat = frames.groupBy(scenario).agg(
-        F.count(F.lit(1)).alias("sample_count"),
-        F.avg((p - y) * (p - y)).alias("brier_score"),
-        F.avg(now.cast("double")).alias("approval_rate"),
-        F.avg(F.when(now, y)).alias("approved_default_rate"),
-        F.avg(p).alias("mean_predicted_risk"),
-        F.avg(F.col(watched).isNull().cast("double")).alias("device_risk_null_rate"),
-        F.count_if(was != now).alias("decision_flip_count"),
-        F.avg((was != now).cast("double")).alias("decision_flip_rate"),
-        F.count_if(~was & now).alias("newly_approved_count"),
-        F.count_if(was & ~now).alias("newly_rejected_count"),
+    counts = metrics.score_counts(
+        frames, [scenario], label, score,
+        [
+            F.count_if(F.col(watched).isNull()).alias("gone"),
+            F.count_if(~was & now).alias("fresh"),
+            F.count_if(was & ~now).alias("lost"),
+        ],
+    )
+    running = running_counts(counts, [scenario], "_score", ["pos", "neg"])
+    p, pos, neg = F.col("_score"), F.col("pos"), F.col("neg")
+    rows, ok = F.sum(pos + neg), p < threshold
+    found = running.groupBy(scenario).agg(
+        rows.alias("sample_count"),
+        (F.sum(pos * (p - 1.0) * (p - 1.0) + neg * p * p) / rows).alias("brier_score"),
+        (F.coalesce(F.sum(F.when(ok, pos + neg)), F.lit(0)) / rows).alias("approval_rate"),
+        F.try_divide(F.sum(F.when(ok, pos)).cast("double"), F.sum(F.when(ok, pos + neg))).alias("approved_default_rate"),
+        (F.sum(p * (pos + neg)) / rows).alias("mean_predicted_risk"),
+        (F.sum("gone") / rows).alias("device_risk_null_rate"),
+        F.sum("fresh").alias("newly_approved_count"),
+        F.sum("lost").alias("newly_rejected_count"),
+        *metrics.ranking_aggregates(),
+    )
+    flips = F.col("newly_approved_count") + F.col("newly_rejected_count")
+    return found.select(
+        scenario, "sample_count", *metrics.ranking_columns(), "brier_score", "approval_rate", "approved_default_rate",
+        "mean_predicted_risk", "device_risk_null_rate", flips.alias("decision_flip_count"),
+        (flips / F.col("sample_count")).alias("decision_flip_rate"), "newly_approved_count", "newly_rejected_count",
     )
-    ranked = metrics.ranking_metrics(frames, [scenario], label, score, bounded=True)
-    return flat.join(ranked, scenario)
 
 
 def factorial_effects(f00: Column, f10: Column, f01: Column, f11: Column) -> dict[str, Column]:

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
-import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline.operators.contract import Contract
+from wardline.sources.tables import work_dir  # noqa: F401
 
 EVENT_SCHEMA = "timestamp_utc timestamp, event_type string, payload string"
 
@@ -97,14 +95,3 @@ def load_contract(path: str) -> Contract:
     else:
         payload = json.loads(text)
     return Contract.from_dict(payload)
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder for streams and tables, in the shared folder the cluster names in
-    ``spark.checkpoint.dir``. Only local runs without that setting get a temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("Set spark.checkpoint.dir to a shared folder")
-    return os.path.join(tempfile.mkdtemp(prefix="run-"), name)
