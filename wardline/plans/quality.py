@@ -582,8 +582,12 @@ _GHOST = dataclasses.replace(_ROW_CONTRACT, columns=_ROW_CONTRACT.columns + (ct.
 
 
 def text_orders(spark, d):
+    return as_text(b.table(spark, d, "orders"))
+
+
+def as_text(orders):
     k = F.col("o_orderkey")
-    return b.table(spark, d, "orders").select(
+    return orders.select(
         "o_orderkey",
         F.when(k % 11 == 0, F.concat(F.lit("k"), k.cast("string"))).otherwise(k.cast("string")).alias("key_text"),
         F.when(k % 13 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string")).alias("price_text"),
