@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -46,15 +46,13 @@ def validate_stream(stream: DataFrame, contract: Contract, valid: str, quarantin
 
 
 def windowed_counts(
-    stream: DataFrame, ts: str, by: Sequence[str], width: str, slide: str | None = None, delay: str = "10 minutes",
-    extra: Sequence[Column] = (),
+    stream: DataFrame, ts: str, by: Sequence[str], width: str, slide: str | None = None, delay: str = "10 minutes"
 ) -> DataFrame:
     """Counts per (window, by); rows later than ``delay`` are dropped, a window is emitted once it closes."""
     win = F.window(ts, width, slide) if slide else F.window(ts, width)
     return (
-        stream.withWatermark(ts, delay).groupBy(win.alias("_w"), *by).agg(F.count(F.lit(1)).alias("total"), *extra)
-        .select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *by, "total",
-                *[c._jc.toString().split(" AS ")[-1] for c in extra])
+        stream.withWatermark(ts, delay).groupBy(win.alias("_w"), *by).agg(F.count(F.lit(1)).alias("total"))
+        .select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *by, "total")
     )
 
 
