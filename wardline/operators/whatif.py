@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from wardline.functions.scalar import affine_shift, gaussian, uniform01
 from wardline.operators import metrics
 from wardline.operators.cumulative import exact_quantiles, running_counts, value_cell
+from wardline.sources.tables import stored
 
 SCENARIOS = ("healthy", "semantic_only", "missingness_only", "combined")
 
@@ -81,9 +82,9 @@ def kth_smallest(df: DataFrame, keys: Sequence[str], value: str, key: str, sizes
         *keys, "_band", (F.col("k") - start).alias("_need")
     )
     # One row per key; keys are classes of a fixed list here.
-    inside = rows.join(F.broadcast(target), [*keys, "_band"])
+    inside = stored(rows.join(F.broadcast(target), [*keys, "_band"]), "cut-cell")
     counted = inside.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"), F.any_value("_need").alias("_need"))
-    at = running_counts(counted, keys, "_v", ["_n"]).where(
+    at = running_counts(counted, keys, "_v", ["_n"], store=False).where(
         (F.col("cum__n") >= F.col("_need")) & (F.col("cum__n") - F.col("_n") < F.col("_need"))
     ).select(*keys, "_v", (F.col("_need") - F.col("cum__n") + F.col("_n")).alias("_place"))
     # Equal values come from equal hashes, so this group is the copies of one row key.

@@ -69,7 +69,7 @@ def _share(part: Column, per_line: float) -> Column:
 
 def apps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order: features, protected columns, label, score, batch name."""
-    hundredths = lambda c: F.round(F.col(c) * 100).cast("long")
+    hundredths = lambda c: F.floor(F.col(c) * 100 + 0.5).cast("long")
     lines = (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey")
@@ -176,7 +176,7 @@ _SCORE_SQL = """
 APPS_SQL = f"""
 li AS (
   SELECT l_orderkey, count(*) AS n,
-    sum(cast(round(l_discount * 100) AS BIGINT))::BIGINT AS disc, sum(cast(round(l_tax * 100) AS BIGINT))::BIGINT AS tax,
+    sum(cast(floor(l_discount * 100 + 0.5::DOUBLE) AS BIGINT))::BIGINT AS disc, sum(cast(floor(l_tax * 100 + 0.5::DOUBLE) AS BIGINT))::BIGINT AS tax,
     sum(cast(l_quantity AS BIGINT))::BIGINT AS qty, count(*) FILTER (WHERE l_returnflag = 'R') AS ret,
     count(*) FILTER (WHERE l_linestatus = 'O') AS opn, max(l_linenumber) AS maxline
   FROM lineitem GROUP BY l_orderkey),

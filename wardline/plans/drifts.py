@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wardline.operators import drift
 from wardline.plans import bridge as b
 from wardline.plans.registry import query
+from wardline.sources.tables import stored
 
 FEATURES = [*b.MONITORED, "risk_probability"]
 
@@ -87,23 +88,23 @@ def d2(spark, d):
 
 @query("d3_bin_proportions", _PSI + " SELECT feature, bin::BIGINT AS bin, nr AS reference_count, nc AS current_count, e AS reference_share, a AS current_share FROM share", ["reference_share", "current_share"])
 def d3(spark, d):
-    return drift.bin_proportions(drifted(spark, d), FEATURES).withColumn("bin", F.col("bin").cast("bigint"))
+    return drift.bin_proportions(stored(drifted(spark, d).select("batch", *FEATURES), "moved"), FEATURES).withColumn("bin", F.col("bin").cast("bigint"))
 
 
 @query("d4_missing_bin", _PSI + " SELECT feature, nr AS reference_count, nc AS current_count FROM share WHERE bin = -1")
 def d4(spark, d):
-    return drift.bin_proportions(drifted(spark, d), FEATURES).where("bin = -1").select("feature", "reference_count", "current_count")
+    return drift.bin_proportions(stored(drifted(spark, d).select("batch", *FEATURES), "moved"), FEATURES).where("bin = -1").select("feature", "reference_count", "current_count")
 
 
 @query("d5_share_floor", _PSI + " SELECT feature, bin::BIGINT AS bin, a * 1e6 AS share_ppm FROM share WHERE nc = 0", ["share_ppm"])
 def d5(spark, d):
-    empty = drift.bin_proportions(drifted(spark, d), FEATURES).where("current_count = 0")
+    empty = drift.bin_proportions(stored(drifted(spark, d).select("batch", *FEATURES), "moved"), FEATURES).where("current_count = 0")
     return empty.select("feature", F.col("bin").cast("bigint").alias("bin"), (F.col("current_share") * 1e6).alias("share_ppm"))
 
 
 @query("d6_psi", _PSI + " SELECT feature, psi FROM psi", ["psi"])
 def d6(spark, d):
-    return drift.psi(drifted(spark, d), FEATURES)
+    return drift.psi(stored(drifted(spark, d).select("batch", *FEATURES), "moved"), FEATURES)
 
 
 @query("d7_ks_statistic", f"{_BASE}, {KS_SQL} SELECT feature, ks_statistic, reference_count, current_count FROM ks", ["ks_statistic"])

@@ -86,7 +86,7 @@ _F8 = f"""{STRESSED}, long AS ({_LONG}), lim AS (SELECT count(*) / 20 AS m FROM
 _F8_COLS = ["approval_rate", "actual_default_rate", "mean_predicted_risk", "favorable_true_positive_rate", "false_approval_rate", "missed_opportunity_rate"]
 _F12 = _F8 + """, f10 AS (SELECT batch, sensitive_feature, count(*) FILTER (WHERE eligible_for_governance) AS eligible_groups FROM f8 GROUP BY 1, 2),
  f11 AS (SELECT batch, sensitive_feature, min(approval_rate) / nullif(max(approval_rate), 0) AS demographic_parity_ratio, max(approval_rate) - min(approval_rate) AS selection_rate_difference,
-   max(favorable_true_positive_rate) - min(favorable_true_positive_rate) AS equal_opportunity_difference, max(false_approval_rate) - min(false_approval_rate) AS false_approval_rate_difference FROM f8 WHERE eligible_for_governance GROUP BY 1, 2),
+   max(favorable_true_positive_rate) - min(favorable_true_positive_rate) AS equal_opportunity_difference, max(false_approval_rate) - min(false_approval_rate) AS false_approval_rate_difference FROM f8 WHERE eligible_for_governance GROUP BY 1, 2 HAVING count(*) >= 2),
  f12 AS (SELECT batch, sensitive_feature, eligible_groups, CASE WHEN eligible_groups < 2 THEN 'UNSUPPORTED' WHEN demographic_parity_ratio < 0.8 OR selection_rate_difference >= 0.15 OR equal_opportunity_difference >= 0.15 OR false_approval_rate_difference >= 0.15
      OR greatest(equal_opportunity_difference, false_approval_rate_difference) >= 0.2 THEN 'FAIL'
    WHEN demographic_parity_ratio < 0.9 OR selection_rate_difference >= 0.1 OR equal_opportunity_difference >= 0.1 OR false_approval_rate_difference >= 0.1 THEN 'WARNING' ELSE 'PASS' END AS status, eligible_groups >= 2 AS is_defined,

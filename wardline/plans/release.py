@@ -15,6 +15,7 @@ from wardline.plans.quality import u01
 from wardline.plans.registry import query
 from wardline.plans.scoring import FLAT, auc_sql
 from wardline.sources import files
+from wardline.sources.tables import stored
 
 # ------------------------------------------------------------------ J
 # One evidence row per model version; versions are the order priorities.
@@ -42,14 +43,13 @@ _GATES = _EV + """, g AS (
  dec AS (SELECT model_version, decision, blocking_reasons, substr(sha256(model_version || '|' || decision || '|STAGING|promotion_policy|1.0.0|' || gates), 1, 20) AS decision_id FROM dec0)"""
 
 
-def artifacts(spark, d):
-    rows = b.drifted(b.apps(spark, d)).withColumn("model_version", F.col("employment_type"))
+def artifacts(rows):
     sha = F.when((F.col("model_version") == "2-HIGH") & (F.col("region") == "ASIA"), "").otherwise(F.sha2(F.concat("model_version", "region"), 256))
     return rows.groupBy("model_version", "region").agg(F.count(F.lit(1)).alias("size_bytes")).withColumn("sha256", sha)
 
 
 def evidence(spark, d):
-    rows = b.drifted(b.apps(spark, d)).withColumn("model_version", F.col("employment_type"))
+    rows = stored(b.drifted(b.apps(spark, d)), "moved").withColumn("model_version", F.col("employment_type"))
     p = F.col("risk_probability")
     side = lambda n: F.avg(F.when(F.col("batch") == n, p))
     rate = F.avg(F.col("device_risk_score").isNull().cast("double"))
@@ -60,7 +60,7 @@ def evidence(spark, d):
     per_age = rows.groupBy("model_version", "age_group").agg(F.avg((p < 0.5).cast("double")).alias("r"))
     ratio = per_age.groupBy("model_version").agg(st.ratio_status(F.min("r") / F.max("r")).alias("fairness_status"))
     perf = metrics.classification_metrics(rows, ["model_version"]).select("model_version", "roc_auc", "pr_auc", "brier_score")
-    return base.join(ratio, "model_version").join(perf, "model_version").join(ev.artifact_counts(artifacts(spark, d)), "model_version")
+    return base.join(ratio, "model_version").join(perf, "model_version").join(ev.artifact_counts(artifacts(rows)), "model_version")
 
 
 def gates(spark, d):
@@ -176,7 +176,7 @@ _ALL = f"WITH {b.DRIFTED_SQL}, a1 AS (SELECT *, 1 AS one FROM drifted WHERE batc
     ["roc_auc", "pr_auc", "brier_score"],
 )
 def j16(spark, d):
-    rows = b.drifted(b.apps(spark, d))
+    rows = stored(b.drifted(b.apps(spark, d)), "moved")
     now = rows.where("batch = 'current'")
     scope = F.lit("moved").alias("scenario")
     gate = ct.gate(ct.validate_batch(now, b.CONTRACT, "moved"), ct.expectations(now, b.CONTRACT, "moved"))

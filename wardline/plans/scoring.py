@@ -10,6 +10,7 @@ from wardline.plans import bridge as b
 from wardline.plans.quality import u01
 from wardline.plans.registry import query
 from wardline.sources import files
+from wardline.sources.tables import stored
 
 APPS = f"WITH {b.APPS_SQL} "
 DRIFTED = f"WITH {b.DRIFTED_SQL} "
@@ -78,7 +79,7 @@ def e4(spark, d):
 
 
 def fitted(spark, d, trees=5):
-    train = apps(spark, d).where("batch = 'reference'")
+    train = stored(apps(spark, d).where("batch = 'reference'"), "train")
     return model.fit_score_pipeline(train, b.NUMERIC, b.CATEGORICAL, trees=trees, rate=0.1)
 
 
@@ -339,7 +340,7 @@ _MASK = f"""drawn AS (SELECT *, CASE WHEN device_risk_score IS NOT NULL THEN -ln
 
 @query("i4_weighted_missingness", f"{APPS}, {_MASK} SELECT application_id, newly_missing FROM masked")
 def i4(spark, d):
-    return whatif.weighted_null_mask(apps(spark, d), "device_risk_score", 0.22).select("application_id", "newly_missing")
+    return whatif.weighted_null_mask(stored(apps(spark, d), "apps"), "device_risk_score", 0.22).select("application_id", "newly_missing")
 
 
 _MOVED_X = "CASE WHEN device_risk_score IS NULL THEN NULL ELSE least(greatest(0.5::DOUBLE + 0.42::DOUBLE * (device_risk_score - 0.5::DOUBLE) + (-0.04)::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE) END"
@@ -350,7 +351,7 @@ _FRAMES = f"""{APPS}, {_MASK}, vals AS (SELECT *, device_risk_score AS healthy_v
 
 
 def frames(spark, d):
-    rows = apps(spark, d).withColumn("healthy_probability", F.col("risk_probability"))
+    rows = stored(apps(spark, d), "apps").withColumn("healthy_probability", F.col("risk_probability"))
     return b.scored(whatif.ablation(rows, SEMANTIC))
 
 
@@ -361,7 +362,7 @@ def i5(spark, d):
 
 @query("i6_mask_transfer", f"{APPS}, {_MASK} SELECT application_id, CASE WHEN newly_missing THEN NULL ELSE device_risk_score END AS device_risk_score FROM masked", ["device_risk_score"])
 def i6(spark, d):
-    rows = apps(spark, d)
+    rows = stored(apps(spark, d), "apps")
     masked = whatif.weighted_null_mask(rows, "device_risk_score", 0.22)
     other = masked.withColumn("device_risk_score", F.when(~F.col("newly_missing"), F.col("device_risk_score")))
     return whatif.transfer_mask(rows, other, "application_id", "device_risk_score").select("application_id", "device_risk_score")

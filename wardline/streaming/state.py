@@ -1,7 +1,9 @@
 """Keyed state machines on a stream: rollout control and stage-history legality.
 
 These two need arbitrary state per key, which no built-in aggregate expresses. State is a few values per
-model version, held in the RocksDB state store; Spark partitions and checkpoints it.
+model version, held in the RocksDB state store; Spark partitions and checkpoints it. A micro-batch is
+ordered per key in memory, so bound it at the source (``maxFilesPerTrigger``, ``maxBytesPerTrigger``);
+for whole histories use the batch forms, which split a hot key into blocks.
 """
 
 from __future__ import annotations
