@@ -59,7 +59,12 @@ def test_drift_ties_missing_and_heavy_tails(spark, seed):
 
 def test_constant_and_two_valued_reference(spark):
     assert drift.psi(two_batches(spark, [3.0] * 50, [3.0] * 20 + [4.0] * 5), ["x"]).first()["psi"] == 0.0
-    edges = drift.reference_edges(two_batches(spark, [0.0] * 30 + [1.0] * 20, [0.0]), ["x"]).first()["edges"]
+    # 50 rows: one quantile falls between the two values, so three distinct edges remain and no fallback applies.
+    between = [0.0] * 30 + [1.0] * 20
+    edges = drift.reference_edges(two_batches(spark, between, [0.0]), ["x"]).first()["edges"]
+    assert edges == pytest.approx(list(np.unique(np.quantile(between, np.linspace(0, 1, 11)))[1:-1]))
+    # 51 rows: every quantile is one of the two values, so the bins are of equal width.
+    edges = drift.reference_edges(two_batches(spark, [0.0] * 30 + [1.0] * 21, [0.0]), ["x"]).first()["edges"]
     assert edges == pytest.approx([i / 10 for i in range(1, 10)])
 
 
@@ -102,7 +107,7 @@ def test_auc_and_average_precision(spark):
 
 
 def test_association_closed_forms(spark):
-    rows = [("current", g, x, c) for g, x, c in zip("aaabbb", [0, 0.1, 0.2, 0.8, 0.9, 1.0], "xxxyyy")]
+    rows = [("current", g, x, c) for g, x, c in zip("aaabbb", [0.0, 0.1, 0.2, 0.8, 0.9, 1.0], "xxxyyy")]
     df = spark.createDataFrame(rows, "batch string, g string, v double, c string")
     assert association.eta_squared(df, ["v"], "g").first()["association"] > 0.80
     assert association.cramers_v(df, ["c"], "g").first()["association"] == pytest.approx(1.0)
