@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with registered queries.
-FAMILIES = ("op_decontamination", "op_quality", "op_tokens")
+FAMILIES = ("op_decontamination", "op_quality", "op_tokens", "op_ngram_join")
 
 
 def _load() -> None:
