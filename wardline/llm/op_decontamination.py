@@ -33,8 +33,14 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def words(text: str | Column) -> Column:
     """Normalised words of a text; no words for null."""
-    plain = F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), _UPPER, _LOWER)
-    return F.array_remove(F.split(plain, BREAKS), "")
+    plain = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    ascii_only = F.octet_length(plain) == F.length(plain)  # there lower() is the same and faster
+    return F.array_remove(F.split(F.when(ascii_only, F.lower(plain)).otherwise(F.translate(plain, _UPPER, _LOWER)), BREAKS), "")
+
+
+def word_count(text: str) -> Column:
+    """Number of normalised words, counted without changing case."""
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{MIXED_BREAKS}+"), "")).cast("long")
 
 
 def gram_length(length: int) -> int:
@@ -72,32 +78,39 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
     for length in sorted(sizes):
         gram, stride = gram_length(length), length - gram_length(length) + 1
         read = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words("text").alias("w"))
-        read = read.where(F.size("w") >= length)
-        at = read.select("doc_id", "text_hash", "w", F.explode(F.sequence(F.lit(0), F.size("w") - gram, F.lit(stride))).alias("at"))
-        keyed = at.withColumn("anchor", F.xxhash64(F.slice("w", F.col("at") + 1, F.lit(gram))))
+        # Outer, and without a filter on the number of words: a filter would be pushed down and split every text once more.
+        places = F.sequence(F.lit(0), F.greatest(F.size("w") - gram, F.lit(0)), F.lit(stride))
+        at = read.select("doc_id", "text_hash", "w", F.explode_outer(places).alias("at"))
+        # Only the words that a window through the anchor can reach go on, never the whole text.
+        begin = F.greatest(F.col("at") - (stride - 1), F.lit(0))
+        keyed = at.select(
+            "doc_id", "text_hash", "at", F.xxhash64(F.slice("w", F.col("at") + 1, F.lit(gram))).alias("anchor"),
+            begin.alias("begin"), F.slice("w", begin + 1, F.col("at") - begin + length).alias("near"),
+        )
         anchors = anchors_of(wins, length)
         met = keyed.join(F.broadcast(anchors) if small else anchors, "anchor")
-        start = lambda e: F.col("at") - e["shift"]
-        true = F.filter(
-            "entries",
-            lambda e: (start(e) >= 0) & (start(e) + length <= F.size("w"))
-            & (F.array_join(F.slice("w", F.greatest(start(e), F.lit(0)) + 1, F.lit(length)), " ") == e["body"]),
-        )
-        met = met.select(
-            "doc_id", "text_hash",
-            F.transform(true, lambda e: F.struct(start(e).alias("start"), F.lit(length).alias("n"))).alias("starts"),
-            F.flatten(F.transform(true, lambda e: e["items"])).alias("items"),
-        ).where(F.size("starts") > 0)
+        # Verified after the texts' hits are together: a filter before would become a join condition that keeps whole rows.
+        hit = F.struct("at", "begin", "near", "entries", F.lit(length).alias("n")).alias("hit")
+        met = met.select("doc_id", "text_hash", hit).groupBy("doc_id", "text_hash").agg(F.collect_set("hit").alias("met"))
         found = met if found is None else found.unionByName(met)
     if found is None:
-        spark = docs.sparkSession
-        found = spark.createDataFrame([], "doc_id long, text_hash long, starts array<struct<start:int,n:int>>, items array<string>")
-    return found.groupBy("doc_id", "text_hash").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("starts")))).alias("starts"),
+        return docs.sparkSession.createDataFrame([], "doc_id long, text_hash long, starts array<struct<start:int,n:int>>, items array<string>")
+    true = F.flatten(F.transform("met", lambda h: F.transform(
+        F.filter(h["entries"], lambda e: _here(h, e)), lambda e: F.struct((h["at"] - e["shift"]).alias("start"), h["n"].alias("n"), e["items"].alias("items"))
+    )))
+    one = found.select("doc_id", "text_hash", F.explode(true).alias("t")).select("doc_id", "text_hash", F.struct("t.start", "t.n").alias("span"), "t.items")
+    return one.groupBy("doc_id", "text_hash").agg(
+        F.array_sort(F.collect_set("span")).alias("starts"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
 
 
+def _here(h: Column, e: Column) -> Column:
+    """Whether the window of an anchor's entry lies around the anchor, word for word."""
+    start = h["at"] - e["shift"]
+    return (start >= 0) & (F.array_join(F.slice(h["near"], F.greatest(start - h["begin"], F.lit(0)) + 1, h["n"]), " ") == e["body"])
+
+
 def covered(starts: str) -> Column:
     """Number of words inside the sorted spans."""
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
@@ -119,7 +132,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broad
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: words, words hit, items met."""
-    counted = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words("text")).cast("long").alias("n_words"))
+    counted = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), word_count("text").alias("n_words"))
     found = hits(docs, benchmark, window).select(F.col("doc_id").alias("hit_doc"), F.col("text_hash").alias("hit_hash"), "starts", "items")
     same = counted["doc_id"].eqNullSafe(found["hit_doc"]) & (counted["text_hash"] == found["hit_hash"])
     n_hit = F.coalesce(covered("starts"), F.lit(0).cast("long"))
