@@ -5,7 +5,9 @@ from __future__ import annotations
 import importlib
 
 #: Modules with registered queries.
-FAMILIES = ("op_decontamination", "op_quality", "op_tokens", "op_ngram_join")
+FAMILIES = (
+    "op_token_counts", "op_tokens", "op_language", "op_html", "op_mixing", "op_quality", "op_substring", "op_toxicity", "op_ngram_join", "op_decontamination",
+)
 
 
 def _load() -> None:
