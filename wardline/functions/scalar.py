@@ -56,7 +56,7 @@ def group_label(c: Column | str) -> Column:
 def intersection_key(df: DataFrame, components: Sequence[str], output: str, separator: str = "|") -> DataFrame:
     missing = [c for c in components if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing intersection components: {missing}")
+        raise ValueError(f"cannot build {output}: no column {missing}")
     return df.withColumn(output, F.concat_ws(separator, *[group_label(c) for c in components]))
 
 
@@ -93,7 +93,7 @@ def engineered_features(df: DataFrame) -> DataFrame:
 def select_inputs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing model inputs: {missing}")
+        raise ValueError(f"no such input columns: {missing}")
     return df.select(*columns)
 
 
@@ -151,5 +151,9 @@ def score_valid(p: Column | str) -> Column:
 
 
 def floor6(c: Column | str) -> Column:
-    """Cut a double to six decimals with plain arithmetic, so any engine gives the same digits."""
-    return F.floor(as_col(c) * 1e6 + 0.5).cast("double") / 1e6
+    """Cut a double to six decimals with plain arithmetic, so any engine gives the same digits.
+
+    NaN, infinities and values whose millionths do not fit a BIGINT stay as they are.
+    """
+    x = as_col(c)
+    return F.when(F.isnan(x) | (F.abs(x) >= 9e12), x).otherwise(F.floor(x * 1e6 + 0.5).cast("double") / 1e6)

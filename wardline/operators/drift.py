@@ -31,7 +31,7 @@ class DriftPolicy:
 def _require(df: DataFrame, columns: Sequence[str]) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing monitored features: {missing}")
+        raise ValueError(f"no such columns to monitor: {missing}")
 
 
 def melt(df: DataFrame, features: Sequence[str], ids: Sequence[str]) -> DataFrame:

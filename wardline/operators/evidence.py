@@ -5,10 +5,13 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wardline.sources.tables import stored
+
 # Legal stage moves, audit event names.
 STAGE_EDGES = {
     "REGISTERED": ["CANDIDATE"],
@@ -90,42 +93,23 @@ def gates(evidence: DataFrame, policy: PromotionPolicy = PromotionPolicy(), keys
     c, p = F.col, policy
     num = lambda x: F.coalesce(x.cast("string"), F.lit("null"))
 
-    def spec(name: str, passed: Column, good: str, bad: Column, observed: Column, expected: str) -> tuple:
-        return name, F.coalesce(passed, F.lit(False)), F.lit(good), bad, observed.cast("string"), expected
-
+    # name, condition, what was seen, limit
     specs = [
-        spec(
-            "data_quality", c("quality_decision") == p.required_decision, "Data quality meets the required decision.",
-            F.concat(F.lit("Data-quality decision is "), num(c("quality_decision")), F.lit(f"; required {p.required_decision}.")),
-            c("quality_decision"), p.required_decision,
-        ),
-        spec(
+        ("data_quality", c("quality_decision") == p.required_decision, c("quality_decision"), p.required_decision),
+        (
             "performance", (c("roc_auc") >= p.minimum_roc_auc) & (c("pr_auc") >= p.minimum_pr_auc),
-            "Discrimination meets the policy.", F.lit("Performance is below a promotion threshold."),
             F.concat(F.lit("roc_auc="), num(c("roc_auc")), F.lit(",pr_auc="), num(c("pr_auc"))),
             f"roc_auc>={p.minimum_roc_auc},pr_auc>={p.minimum_pr_auc}",
         ),
-        spec(
-            "calibration", c("brier_score") <= p.maximum_brier_score, "Brier score meets the limit.",
-            F.lit("Brier score exceeds the limit."), c("brier_score"), f"<={p.maximum_brier_score}",
-        ),
-        spec(
-            "drift", _status_ok("drift_status", p.blocked_drift), "Drift is within the policy.",
-            F.concat(F.lit("Drift status "), num(c("drift_status")), F.lit(" is blocking.")),
-            c("drift_status"), "not in " + json.dumps(sorted(p.blocked_drift)),
-        ),
-        spec(
-            "fairness", _status_ok("fairness_status", p.blocked_fairness), "Fairness is within the policy.",
-            F.concat(F.lit("Fairness status "), num(c("fairness_status")), F.lit(" is blocking.")),
-            c("fairness_status"), "not in " + json.dumps(sorted(p.blocked_fairness)),
-        ),
-        spec(
-            "evidence_integrity",
-            (c("valid_artifacts") >= p.minimum_artifacts) & (c("valid_artifacts") == c("total_artifacts")),
-            "All artifacts carry content hashes.", F.lit("Evidence is incomplete or holds an unhashed artifact."),
+        ("calibration", c("brier_score") <= p.maximum_brier_score, c("brier_score"), f"<={p.maximum_brier_score}"),
+        ("drift", _status_ok("drift_status", p.blocked_drift), c("drift_status"), "not in " + json.dumps(sorted(p.blocked_drift))),
+        ("fairness", _status_ok("fairness_status", p.blocked_fairness), c("fairness_status"), "not in " + json.dumps(sorted(p.blocked_fairness))),
+        (
+            "evidence_integrity", (c("valid_artifacts") >= p.minimum_artifacts) & (c("valid_artifacts") == c("total_artifacts")),
             F.concat(num(c("valid_artifacts")), F.lit("/"), num(c("total_artifacts"))), f">={p.minimum_artifacts}, all hashed",
         ),
     ]
+    specs = [(name, F.coalesce(ok, F.lit(False)), seen.cast("string"), limit) for name, ok, seen, limit in specs]
     rows = [
         F.struct(
             F.lit(i).alias("gate_position"),
@@ -133,11 +117,11 @@ def gates(evidence: DataFrame, policy: PromotionPolicy = PromotionPolicy(), keys
             F.when(passed, "PASS").otherwise("FAIL").alias("status"),
             passed.alias("passed"),
             F.lit(name not in p.non_blocking).alias("blocking"),
-            F.when(passed, good).otherwise(bad).alias("reason"),
+            F.concat(F.lit(name), F.when(passed, " meets ").otherwise(" misses "), F.lit(expected)).alias("reason"),
             observed.alias("observed"),
             F.lit(expected).alias("expected"),
         )
-        for i, (name, passed, good, bad, observed, expected) in enumerate(specs)
+        for i, (name, passed, observed, expected) in enumerate(specs)
     ]
     return evidence.select(*keys, F.inline(F.array(*rows)))
 
@@ -185,7 +169,8 @@ def previous_in_order(
     """``lag(value)`` per key, safe for a key with very many rows.
 
     ``block`` must not decrease along ``order`` (an hour, a day, a range of ids). Rows are ordered within
-    (key, block); the last value of every block is passed on through a table of one row per block.
+    (key, block); the last value of every block is passed on through a table of one row per block. Rows with a NULL key
+    form a key of their own; rows with a NULL order value come first.
     """
     keys, order = list(keys), list(order)
     blocked = df.withColumn("_block", block)
@@ -195,9 +180,11 @@ def previous_in_order(
         *keys, "_block", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_block")).alias("_carry")
     )
     here = blocked.withColumns({"_lag": F.lag(value).over(inside), "_first": F.row_number().over(inside) == 1})
-    return here.join(carried, [*keys, "_block"]).withColumn(
-        output, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))
-    ).drop("_block", "_lag", "_first", "_carry")
+    at = [*keys, "_block"]
+    carried = carried.withColumnsRenamed({k: f"_at_{k}" for k in at})
+    same = reduce(lambda x, y: x & y, [here[k].eqNullSafe(carried[f"_at_{k}"]) for k in at])
+    joined = here.join(carried, same, "left").withColumn(output, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag")))
+    return joined.drop("_block", "_lag", "_first", "_carry", *[f"_at_{k}" for k in at])
 
 
 def legal_move(before: Column, after: Column) -> Column:
@@ -276,20 +263,43 @@ def policies_agree(left: DataFrame, right: DataFrame, tolerance: float = 1e-12)
     return joined.select("policy", "key", F.coalesce(F.col("_l") & F.col("_r") & close & held, F.lit(False)).alias("agrees"))
 
 
-def run_rollup(tasks: DataFrame, run: str = "run_id", max_depth: int = 12) -> DataFrame:
+def _reject_cycles(edges: DataFrame, run: str) -> None:
+    """Raise if a task depends on itself through others: edges to tasks without dependencies are dropped until none is left."""
+    left = edges.count()
+    while left:
+        holders = edges.select(run, F.col("task_id").alias("_dep")).distinct()
+        edges = stored(edges.join(holders, [run, "_dep"], "left_semi"), "edges")
+        now = edges.count()
+        if now == left:
+            raise ValueError(f"{now} dependencies lie on or behind a cycle")
+        left = now
+
+
+def run_rollup(tasks: DataFrame, run: str = "run_id") -> DataFrame:
     """Final status per task: SKIPPED behind a task that did not pass, else its own status.
 
-    ``tasks`` is (run, task_id, depends_on ARRAY, own_status). The set of blocked tasks grows along the
-    edges one level per join; ``max_depth`` is the longest dependency chain of the task plan.
+    ``tasks`` is (run, task_id, depends_on ARRAY, own_status). Chains may have any length: the set of blocked tasks grows by one
+    level per round, each stored, until no new task is reached. Cycles and dependencies on unknown tasks raise an error. Runs jobs
+    when called.
     """
-    edges = tasks.select(run, "task_id", F.explode("depends_on").alias("_dep"))
-    bad = tasks.where(F.col("own_status") != "PASS").select(run, F.col("task_id").alias("_dep"))
-    frontier, blocked = bad, None
-    for _ in range(max_depth):
+    edges = stored(tasks.select(run, "task_id", F.explode("depends_on").alias("_dep")).distinct(), "edges")
+    known = tasks.select(run, F.col("task_id").alias("_dep"))
+    unknown = edges.join(known, [run, "_dep"], "left_anti").count()
+    if unknown:
+        raise ValueError(f"{unknown} dependencies name no task of their run")
+    _reject_cycles(edges, run)
+    frontier = tasks.where(~F.col("own_status").eqNullSafe("PASS")).select(run, F.col("task_id").alias("_dep"))
+    blocked = None
+    while True:
         reached = edges.join(frontier, [run, "_dep"]).select(run, "task_id").distinct()
-        blocked = reached if blocked is None else blocked.unionByName(reached)
+        if blocked is not None:
+            reached = reached.join(blocked, [run, "task_id"], "left_anti")
+        reached = stored(reached, "reached")
+        if reached.isEmpty():
+            break
+        blocked = reached if blocked is None else stored(blocked.unionByName(reached), "blocked")
         frontier = reached.withColumnRenamed("task_id", "_dep")
-    skipped = blocked.distinct().withColumn("_skip", F.lit(True))
+    skipped = (reached if blocked is None else blocked).withColumn("_skip", F.lit(True))
     skip = F.coalesce("_skip", F.lit(False))
     return tasks.join(skipped, [run, "task_id"], "left").select(
         run, "task_id", F.when(skip, "SKIPPED").otherwise(F.col("own_status")).alias("status")

@@ -24,7 +24,7 @@ def timeline_checks(
     events: DataFrame, incident: str = "incident_id", event_id: str = "event_id", event_type: str = "event_type",
     ts: str = "occurred_at", seq: str = "seq", block: Column | None = None,
 ) -> DataFrame:
-    """Per incident: events, repeated ids, repeated types, steps back in time, and the verdict.
+    """Per incident: events, repeated ids, repeated types, steps back in time, and the verdict. An event without time or place is bad.
 
     ``block`` groups neighbouring sequence numbers, so one incident with very many events is ordered by
     many tasks.
@@ -39,7 +39,7 @@ def timeline_checks(
     )
     base = stepped.groupBy(incident).agg(
         F.count(F.lit(1)).alias("event_count"),
-        F.count_if(F.col(ts).isNull()).alias("bad_timestamps"),
+        F.count_if(F.col(ts).isNull() | F.col(seq).isNull()).alias("bad_timestamps"),
         F.count_if(F.col(ts) < F.col("_before")).alias("steps_back"),
     )
     bad = F.col("repeated_ids") + F.col("repeated_types") + F.col("bad_timestamps") + F.col("steps_back")

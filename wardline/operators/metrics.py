@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions.scalar import group_label
+from wardline.functions.scalar import group_label, score_valid
 from wardline.operators.cumulative import running_counts
 
 
@@ -17,11 +17,33 @@ def _keys(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return df.withColumn("_all", F.lit("all")), ["_all"]
 
 
+def scored_rows(df: DataFrame, label: str = "default_30d", score: str = "risk_probability", strict: bool = False) -> DataFrame:
+    """Rows with a label and a finite score in [0, 1]: the only ones that rates and metrics may count.
+
+    ``strict`` fails the job at the first other row; :func:`left_out` counts them.
+    """
+    good = score_valid(score) & F.col(label).isNotNull()
+    if strict:
+        good = F.when(good, True).otherwise(F.raise_error(F.lit(f"a row has no {label} or no valid {score}")).cast("boolean"))
+    return df.where(good)
+
+
+def left_out(df: DataFrame, by: Sequence[str] = (), label: str = "default_30d", score: str = "risk_probability") -> DataFrame:
+    """Per segment: rows, rows without a label, rows without a valid score, rows that metrics leave out."""
+    keyed, keys = _keys(df, by)
+    bare, unscored = F.col(label).isNull(), ~score_valid(score)
+    counted = keyed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_if(bare).alias("unlabelled"), F.count_if(unscored).alias("unscored"),
+        F.count_if(bare | unscored).alias("left_out"),
+    )
+    return counted if by else counted.drop("_all")
+
+
 def score_counts(df: DataFrame, by: Sequence[str], label: str, score: str, extra: Sequence[Column] = ()) -> DataFrame:
     """(segment, score, pos, neg, extra): distinct scores only, combined map-side."""
     y = F.col(label).cast("int")
     return (
-        df.where(F.col(score).isNotNull() & y.isNotNull())
+        scored_rows(df, label, score)
         .groupBy(*by, F.col(score).cast("double").alias("_score"))
         .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"), *extra)
     )
@@ -88,9 +110,10 @@ def threshold_metrics(
     score: str = "risk_probability",
     threshold: float = 0.5,
     watched: str | None = None,
+    strict: bool = False,
 ) -> DataFrame:
-    """Confusion counts, precision, recall, F1 (0 when undefined), Brier, rates: one aggregate."""
-    keyed, keys = _keys(df, by)
+    """Confusion counts, precision, recall, F1 (0 when undefined), Brier, rates: one aggregate over :func:`scored_rows`."""
+    keyed, keys = _keys(scored_rows(df, label, score, strict), by)
     extra = [F.avg(F.col(watched).isNull().cast("double")).alias("watched_null_rate")] if watched else []
     counted = keyed.groupBy(*keys).agg(*threshold_aggregates(label, score, threshold), *extra)
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
@@ -162,9 +185,9 @@ def roc_points(
     by: Sequence[str] = (),
     label: str = "default_30d",
     score: str = "risk_probability",
-    points: int | None = 100,
+    points: int | None = None,
 ) -> DataFrame:
-    """(threshold, fpr, tpr) from the top score down; ``points`` thins the curve by false-positive rate.
+    """(threshold, fpr, tpr) from the top score down, whole; ``points`` asks for a curve thinned by false-positive rate.
 
     Thinning keeps, per segment and slice of fpr, the lowest threshold: a map-side aggregate, not a sort.
     """

@@ -81,14 +81,13 @@ def kth_smallest(df: DataFrame, keys: Sequence[str], value: str, key: str, sizes
     target = bands.join(sizes, keys).where((F.col("_end") >= F.col("k")) & (start < F.col("k"))).select(
         *keys, "_band", (F.col("k") - start).alias("_need")
     )
-    # One row per key; keys are classes of a fixed list here.
-    inside = stored(rows.join(F.broadcast(target), [*keys, "_band"]), "cut-cell")
+    inside = stored(rows.join(target, [*keys, "_band"]), "cut-cell")
     counted = inside.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"), F.any_value("_need").alias("_need"))
     at = running_counts(counted, keys, "_v", ["_n"], store=False).where(
         (F.col("cum__n") >= F.col("_need")) & (F.col("cum__n") - F.col("_n") < F.col("_need"))
     ).select(*keys, "_v", (F.col("_need") - F.col("cum__n") + F.col("_n")).alias("_place"))
     # Equal values come from equal hashes, so this group is the copies of one row key.
-    tied = inside.drop("_need").join(F.broadcast(at), [*keys, "_v"]).withColumn(
+    tied = inside.drop("_need").join(at, [*keys, "_v"]).withColumn(
         "_r", F.row_number().over(Window.partitionBy(*keys, "_v").orderBy("_key"))
     )
     return tied.where(F.col("_r") == F.col("_place")).select(
@@ -120,15 +119,16 @@ def stratified_split(
 
     Membership is a function of the row key and the seed, so it survives repartitioning and retries.
     """
-    keyed = df.withColumn("_u", uniform01(_keyed(key, seed, "split")))
-    sizes = keyed.groupBy(target).agg(F.round(F.count(F.lit(1)) * F.lit(float(test_size))).cast("long").alias("k"))
-    cuts = kth_smallest(keyed, [target], "_u", key, sizes)
-    joined = keyed.join(F.broadcast(cuts), target, "left")
+    # a NULL class is a class: it is cut under a name of its own
+    keyed = df.withColumn("_u", uniform01(_keyed(key, seed, "split"))).withColumn("_class", F.coalesce(F.to_json(F.struct(target)), F.lit("null")))
+    sizes = keyed.groupBy("_class").agg(F.round(F.count(F.lit(1)) * F.lit(float(test_size))).cast("long").alias("k"))
+    cuts = kth_smallest(keyed, ["_class"], "_u", key, sizes)
+    joined = keyed.join(cuts, "_class", "left")
     held = (F.col("_u") < F.col("cut_value")) | (
         (F.col("_u") == F.col("cut_value")) & (F.col(key).cast("string") <= F.col("cut_key"))
     )
     return joined.withColumn("split", F.when(F.coalesce(held, F.lit(False)), "holdout").otherwise("train")).drop(
-        "_u", "cut_value", "cut_key"
+        "_u", "_class", "cut_value", "cut_key"
     )
 
 

@@ -166,6 +166,15 @@ def e14(spark, d):
     return metrics.roc_points(apps(spark, d), ["region"], points=50)
 
 
+@query(
+    "e14_roc_whole",
+    APPS + "," + auc_sql("apps", "region") + " SELECT k AS region, p AS threshold, top_neg / tn AS fpr, top_pos / tp AS tpr FROM cm",
+    ["threshold", "fpr", "tpr"],
+)
+def e14_whole(spark, d):
+    return metrics.roc_points(apps(spark, d), ["region"])
+
+
 _CMP = ["roc_auc", "watched_null_rate", "brier_score"]
 
 

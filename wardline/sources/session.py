@@ -13,9 +13,6 @@ def local_session(cores: str = "*", app: str = "wardline", **extra: str) -> Spar
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
-        # The test tables are a few MB in one file each: keep shuffled work on all cores at that size.
-        "spark.sql.autoBroadcastJoinThreshold": "1m",
-        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
         **extra,
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)

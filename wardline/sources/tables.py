@@ -2,24 +2,42 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local: dict[str, str] = {}
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only local runs without that setting get a temporary folder.
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local run without that setting gets one folder of its own, removed when Python ends.
     """
+    app = spark.sparkContext.applicationId
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        return f"{shared.rstrip('/')}/wardline-{app}"
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("Set spark.checkpoint.dir to a shared folder")
-    return os.path.join(tempfile.mkdtemp(prefix="run-"), name)
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="wardline-")
+        atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
+    return _local[app]
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder for an intermediate table."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_work(spark: SparkSession) -> bool:
+    """Remove everything this application has stored. Call it when no returned DataFrame is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str = "stage") -> DataFrame:
