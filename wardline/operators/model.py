@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.scalar import decide, engineered_features, number
 from wardline.operators.cumulative import exact_quantiles
+from wardline.sources.tables import shared_folder
 
 ENGINEERED = ("utilization_x_dti", "income_per_open_account", "history_to_age_ratio")
 
@@ -80,14 +81,17 @@ class Scorer:
     preprocess: Preprocess
     pipeline: PipelineModel
     engineered: bool = True
+    name: str = "default_risk"
+    version: str = "1"
 
     def score(self, df: DataFrame, threshold: float = 0.5, override: dict[str, Column] | None = None) -> DataFrame:
-        """Add risk_probability, predicted_default and approved."""
+        """Add risk_probability, predicted_default, approved, and the model's name and version."""
         drop = {*self.preprocess.columns, *(f"{c}_filled" for c in self.preprocess.categorical), *(ENGINEERED if self.engineered else ())}
         ready = self.preprocess.apply(engineered_features(df) if self.engineered else df, override)
         scored = self.pipeline.transform(ready).withColumn("risk_probability", vector_to_array("probability")[1])
-        keep = [c for c in df.columns if c != "risk_probability" and c not in drop]
-        return decide(scored.select(*keep, "risk_probability"), threshold=threshold)
+        keep = [c for c in df.columns if c not in ("risk_probability", "model_name", "model_version") and c not in drop]
+        named = {"model_name": F.lit(self.name), "model_version": F.lit(self.version)}
+        return decide(scored.select(*keep, "risk_probability"), threshold=threshold).withColumns(named)
 
     def save(self, path: str) -> None:
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
@@ -97,6 +101,8 @@ class Scorer:
         rows += [("categorical", c, None, p.modes[c], False, i) for i, c in enumerate(p.categorical)]
         schema = "kind string, name string, median double, mode string, indicator boolean, position int"
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/preprocess")
+        head = spark.createDataFrame([(self.name, self.version, self.engineered)], "name string, version string, engineered boolean")
+        head.coalesce(1).write.mode("overwrite").parquet(f"{path}/head")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Scorer:
@@ -107,7 +113,8 @@ class Scorer:
             tuple(r["name"] for r in num), tuple(r["name"] for r in cat), {r["name"]: r["median"] for r in num},
             {r["name"]: r["mode"] for r in cat}, tuple(r["name"] for r in num if r["indicator"]),
         )
-        return cls(prep, PipelineModel.load(f"{path}/pipeline"), any(c in prep.numeric for c in ENGINEERED))
+        head = spark.read.parquet(f"{path}/head").first()
+        return cls(prep, PipelineModel.load(f"{path}/pipeline"), head["engineered"], head["name"], head["version"])
 
 
 def fit_score_pipeline(
@@ -116,8 +123,13 @@ def fit_score_pipeline(
 ) -> Scorer:
     """Gradient-boosted trees over filled numerics, missing indicators and one-hot levels.
 
+    The long chain of boosting rounds is cut every ten of them by a checkpoint in the shared folder.
+
     An unknown level gets all zeros: it is indexed last and the last slot is dropped.
     """
+    context = train.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(train.sparkSession))
     numeric = [*numeric, *(ENGINEERED if engineered else ())]
     wide = engineered_features(train) if engineered else train
     prep = fit_preprocess(wide, numeric, categorical)
