@@ -67,9 +67,19 @@ def windowed_quantile(
     df: DataFrame, ts: str, value: str, bounds: Sequence[float], q: float, by: Sequence[str] = (),
     width: str = "5 minutes", slide: str | None = "1 minute",
 ) -> DataFrame:
-    """Bucket quantile per (sliding) window."""
-    win = (F.window(ts, width, slide) if slide else F.window(ts, width))["start"].alias("window_start")
-    return histogram_quantile(histogram(df, value, bounds, [win, *by]), ["window_start", *by], q)
+    """Bucket quantile per (sliding) window.
+
+    Sliding windows add up counts per ``slide``, which must divide ``width``, so a row is counted once and not once per window.
+    """
+    if not slide:
+        win = F.window(ts, width)["start"].alias("window_start")
+        return histogram_quantile(histogram(df, value, bounds, [win, *by]), ["window_start", *by], q)
+    x, names = F.col(value), [f"_n{i}" for i in range(len(bounds) + 1)]
+    each = [*[F.count_if(x <= limit) for limit in bounds], F.count(x)]
+    steps = df.groupBy(F.window(ts, slide)["start"].alias("_at"), *by).agg(*[c.alias(n) for c, n in zip(each, names)])
+    wide = steps.groupBy(F.window("_at", width, slide)["start"].alias("window_start"), *by).agg(*[F.sum(n).alias(n) for n in names])
+    rows = F.array(*[F.struct(F.lit(float(le)).alias("le"), F.col(n).alias("bucket_count")) for le, n in zip([*bounds, float("inf")], names)])
+    return histogram_quantile(wide.select("window_start", *by, F.inline(rows)), ["window_start", *by], q)
 
 
 def stage_gauge(stages: DataFrame, keys: Sequence[str], stage: str = "stage") -> DataFrame:

@@ -100,15 +100,19 @@ def weighted_null_mask(
 ) -> DataFrame:
     """Flag exactly ``round(n*rate) - already missing`` rows, drawn without replacement by weight.
 
-    Each row gets the draw ``-ln(u)/w``, u a hash of its id; the k smallest draws win.
+    Each row gets the draw ``-ln(u)/w``, u a hash of its id; the k smallest draws win. The largest winning draw is found when this
+    is called, so a plan that uses the mask several times does not search for it again.
     """
     draw = F.when(F.col(column).isNotNull(), -F.ln(uniform01(_keyed(key, seed, "missing"))) / missing_weight(F.col(column)))
     keyed = df.withColumns({"_draw": draw, "_all": F.lit(1)})
     wanted = F.bround(F.count(F.lit(1)) * F.lit(float(target_rate))).cast("long") - F.count_if(F.col(column).isNull())
     sizes = keyed.groupBy("_all").agg(F.greatest(wanted, F.lit(0)).alias("k"))
-    cut = kth_smallest(keyed, ["_all"], "_draw", key, sizes).select(F.struct("cut_value", "cut_key")).scalar()
-    below = F.col("_draw") < cut["cut_value"]
-    tied = (F.col("_draw") == cut["cut_value"]) & (F.col(key).cast("string") <= cut["cut_key"])
+    cut = kth_smallest(keyed, ["_all"], "_draw", key, sizes).first()  # one row, read once
+    if cut is None:
+        return keyed.withColumn(output, F.lit(False)).drop("_draw", "_all")
+    value, last = F.lit(cut["cut_value"]), F.lit(cut["cut_key"])
+    below = F.col("_draw") < value
+    tied = (F.col("_draw") == value) & (F.col(key).cast("string") <= last)
     return keyed.withColumn(output, F.coalesce(below | tied, F.lit(False))).drop("_draw", "_all")
 
 
@@ -267,10 +271,10 @@ def factorial_table(table: DataFrame, columns: Sequence[str], scenario: str = "s
 def newly_missing_profile(frames: DataFrame, median: DataFrame, scenario: str = "scenario", mask: str = "newly_missing") -> DataFrame:
     """One row over the combined rows: newly missing count, mean under each semantics, gap to the fill value.
 
-    ``median`` is one row with one column, read as a scalar.
+    ``median`` is one row with one column, read once when this is called.
     """
     rows = frames.where((F.col(scenario) == "combined") & F.col(mask))
-    fill = median.scalar()
+    fill = F.lit(median.first()[0]).cast("double")
     return rows.agg(
         F.count(F.lit(1)).alias("newly_missing_count"),
         F.avg("semantic_value").alias("semantic_reference_mean"),
@@ -300,11 +304,12 @@ def remediation_rows(
     """Candidates times rows: every training quantile, the median control, and the oracle restore.
 
     Adds ``candidate`` and ``fill``, the value a missing row is scored with; the row keeps its indicator.
-    Quantiles are scalars here, so the fan-out is a local ``explode``, not a join.
+    Quantiles are read once when this is called, so the fan-out is a local ``explode``, not a join.
     """
     probs = [0.5, *quantiles]
     found = exact_quantiles(train, [], column, probs, names=[f"v{i}" for i in range(len(probs))])
-    values = [found.select(f"v{i}").scalar() for i in range(len(probs))]
+    row = found.first()
+    values = [F.lit(row[f"v{i}"]).cast("double") for i in range(len(probs))]
     cases = [F.struct(F.lit("median_control").alias("candidate"), values[0].alias("fill"))]
     cases.append(
         F.struct(

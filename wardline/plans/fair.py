@@ -80,7 +80,7 @@ def f7(spark, d):
     return fair.primary_delta(assessed(spark, d), b.INTERSECTION)
 
 
-_F8 = f"""{STRESSED}, long AS ({_LONG}), lim AS (SELECT count(*) / 20 AS m FROM orders),
+_F8 = f"""{STRESSED}, long AS ({_LONG}),
  f8 AS (SELECT batch, sensitive_feature, grp, count(*) AS sample_count, count(*) >= {MIN} AS eligible_for_governance, avg((p < 0.5)::INT) AS approval_rate, avg(y) AS actual_default_rate, avg(p) AS mean_predicted_risk,
    avg((p < 0.5)::INT) FILTER (WHERE y = 0) AS favorable_true_positive_rate, avg((p < 0.5)::INT) FILTER (WHERE y = 1) AS false_approval_rate, avg((p >= 0.5)::INT) FILTER (WHERE y = 0) AS missed_opportunity_rate FROM long GROUP BY 1, 2, 3)"""
 _F8_COLS = ["approval_rate", "actual_default_rate", "mean_predicted_risk", "favorable_true_positive_rate", "false_approval_rate", "missed_opportunity_rate"]

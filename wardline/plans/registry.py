@@ -36,5 +36,4 @@ def cut_sql(sql: str, doubles: Sequence[str]) -> str:
     if not doubles:
         return sql
     cols = ", ".join(f"{r6(c)} AS {c}" for c in doubles)
-    head, body = ("", sql)
-    return f"{head}SELECT * REPLACE ({cols}) FROM ({body}) AS q"
+    return f"SELECT * REPLACE ({cols}) FROM ({sql}) AS q"
