@@ -65,7 +65,10 @@ def slots_of(texts: pa.Array) -> Iterator[np.ndarray]:
                 continue
             keep = ~space
             keep[1:] |= ~space[:-1]
+            keep[-1] = not space[-1]
             c = np.concatenate([[32], c[keep], [32]]).astype(np.uint32)
+            if c[-2] == 32:  # one of the text's own stands there already
+                c = c[:-1]
             h = np.zeros(len(c), np.uint32)
             for n in range(1, SPECTRUM + 1):
                 if len(c) < n:

@@ -6,7 +6,8 @@ surface counts feed a softmax regression (the other half); every document gets a
 sought so that the totals are the targets: least squares, solved by projected gradient descent. A rate's change counts by its
 document's tokens (so a long text moves no further than a short one), and the residual is measured in the metric of the inverse
 Gram matrix, in which one is a safe step length. One step is one aggregate over the stored vectors; a rate follows from the
-posterior and the step vectors alone, so neither rates nor documents are ever gathered.
+posterior and the step vectors alone, so neither rates nor documents are ever gathered. Targets out of reach are approached in
+that metric, ``MAX_STEPS`` steps far.
 *Copies.* A document of rate r is kept floor(r + u) times, u drawn from the hash of its id: r copies in expectation.
 
 Sample: at most ``PER_DOMAIN`` labelled texts of each domain by the smallest hash. The driver gets word counts of the hash space,
