@@ -3,16 +3,17 @@
 The global order of n-grams is the order of their 64-bit hashes. It is cut into fragments, and every text's set with it, so
 two sets can be compared fragment by fragment: their overlap is the sum of the partial overlaps. Three uses are made of this:
 
-1. *Candidates.* Two sets that link differ in at most d n-grams, and d follows from their sizes. Cut into d + 1 fragments, they
-   must agree in one fragment as a whole. So each set is posted once per fragment, under the digest of what it has there; sizes
-   are dealt to classes, and a set near the top of its class is posted for the next one too. (A set that is empty in a
-   fragment is posted under that and each fragment of a second, independent cut, so empty fragments bring nobody together.)
-2. *Bound.* Half-fragments are kept as 16-bit digests; the number of half-fragments that differ is a lower bound of the
-   difference and drops most false candidates before a text is read again.
+1. *Candidates.* Two sets that link differ in at most d n-grams, and d follows from their sizes. Cut into f > d fragments, they
+   must agree in f - d fragments as a whole. So each set is posted under the digest of what it has in every f - d fragments: one
+   of d + 1 for long texts, most of a set for short ones. Sizes are dealt to classes, and a set near the top of its class is
+   posted for the next one too. (A set that is empty in some such fragments is posted under that and each choice of a second,
+   independent cut, so empty fragments bring nobody together.)
+2. *Bound.* Quarters of fragments are kept as 4-bit digests, sixteen to a number; the number of quarters that differ is a lower
+   bound of the difference and drops most false candidates before a text is read again.
 3. *Count.* For the pairs left, partial overlaps per fragment are counted one by one and summed per pair: the exact overlap.
 
 No pair list of a group is ever made. Equal sets are one representative. In each posting group members are compared with a
-leader only, first the smallest id, then, while that still joins anything, leaders drawn anew, and only across different
+leader only, first the smallest id, then, while that still joins much, leaders drawn anew, and only across different
 components. What is left are pairs of a group's minority members with the rest of the group, across components; they are
 compared last, all of them, with the bound inside the join. So no link that could join two components is missed, and a group of
 near copies costs about its size. Postings are combined per batch before the shuffle, so a hot group is a few rows per batch.
@@ -26,6 +27,9 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +47,13 @@ WORDS = 3
 NUM, DEN = 9, 10
 #: Fragments in which the overlap of a pair is counted.
 FRAGMENTS = 8
-#: Ids of candidate texts whose list is broadcast to the second reading of the texts; beyond it they are joined.
+#: Ids of candidates whose list is broadcast to a second reading (8 bytes each); beyond it they are joined.
 BROADCAST_IDS = 4_000_000
-#: Rounds of newly drawn leaders at most; what they leave is compared in full afterwards.
-LEADER_ROUNDS = 6
+#: Rounds of newly drawn leaders at most, and the part of the last round's links that a round must bring to be followed by
+#: another; what they leave is compared in full afterwards.
+LEADER_ROUNDS, WORTH = 6, 0.05
+#: Choices of fragments a short set is posted under at most (a long one is posted under its d + 1 single fragments).
+MAX_CHOICES, MAX_FRAGMENTS = 48, 10
 _CLASS_BITS = 7
 _SECOND = W.U64(0x5851F42D4C957F2D)
 
@@ -63,12 +70,12 @@ class Classes:
             self.low.append(max(at + 1, -(-at * self.den**3 // self.num**3)))
         return bisect_right(self.low, n) - 1
 
-    def fragments(self, c: int) -> int:
-        """One more than the largest difference of two sets of class ``c`` (or one of them just below it) that link."""
+    def difference(self, c: int) -> int:
+        """The largest difference of two sets of class ``c`` (or one of them just below it) that link."""
         self.of(self.low[min(c, len(self.low) - 1)])
         while len(self.low) <= c + 1:
             self.of(self.low[-1])
-        return 2 * (self.low[c + 1] - 1) * (self.den - self.num) // (self.den + self.num) + 1
+        return 2 * (self.low[c + 1] - 1) * (self.den - self.num) // (self.den + self.num)
 
     def next_too(self, n: int, c: int) -> bool:
         return n * self.den >= self.low[c + 1] * self.num
@@ -101,21 +108,37 @@ def _cut(h: np.ndarray, mixed: np.ndarray, parts: int) -> tuple[np.ndarray, np.n
     return np.diff(total[bounds]), np.diff(bounds)
 
 
-def postings(h: np.ndarray, c: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Posting keys of a set in class ``c`` (the class in the low bits) and its half-fragment digests."""
-    sums, sizes = _cut(h, W.mix(h ^ _SECOND), 2 * parts)
+@lru_cache(None)
+def choices(d: int) -> np.ndarray:
+    """All choices of f - d of f fragments, one per row; f is the largest that gives no more than ``MAX_CHOICES`` of them."""
+    f = d + 1
+    while f < MAX_FRAGMENTS and comb(f + 1, d) <= max(MAX_CHOICES, d + 1):
+        f += 1
+    return np.array(list(combinations(range(f), f - d)))
+
+
+def postings(h: np.ndarray, c: int, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Posting keys of a set in class ``c`` (the class in the low bits) and the digests of its fragments' quarters."""
+    chosen = choices(d)
+    parts = int(chosen.max()) + 1
+    sums, sizes = _cut(h, W.mix(h ^ _SECOND), 4 * parts)
     place = np.arange(parts, dtype=np.uint64) + W.U64(c << 40)
-    keys = W.mix(W.mix(sums[0::2] + W.U64(1)) + W.mix(sums[1::2]) * W.U64(3) + W.mix(place))
-    empty = np.flatnonzero(sizes[0::2] + sizes[1::2] == 0)
+    quarters = W.mix(sums.reshape(-1, 4) + np.arange(1, 5, dtype=np.uint64))
+    keys = W.mix(quarters.sum(1, dtype=np.uint64) + W.mix(place))
+    keys = W.mix(keys[chosen].sum(1, dtype=np.uint64))
+    empty = np.flatnonzero(sizes.reshape(-1, 4).sum(1)[chosen].sum(1) == 0)
     if len(empty):
         other = np.sort(W.mix(h + _SECOND))
         again, _ = _cut(other, W.mix(other), parts)
-        again = W.mix(again + W.mix(place + W.U64(1 << 32)))
+        again = W.mix(again + W.mix(place + W.U64(1 << 32)))[chosen].sum(1, dtype=np.uint64)
         shift = W.mix((empty.astype(np.uint64) + W.U64(1)) * _SECOND)
         more = [W.mix(again + x) for x in shift]
         keys = np.concatenate([np.delete(keys, empty), *more])
     keys = (keys << W.U64(_CLASS_BITS)) | W.U64(c)
-    return keys.view(np.int64), (W.mix(sums) & W.U64(0xFFFF)).astype(np.uint16).view(np.int16)
+    digests = np.zeros(-(-len(sums) // 16) * 16, np.uint64)
+    digests[: len(sums)] = W.mix(sums) >> W.U64(60)
+    packed = (digests.reshape(-1, 16) << (W.U64(4) * np.arange(16, dtype=np.uint64))).sum(1, dtype=np.uint64)
+    return keys.view(np.int64), packed.view(np.int64)
 
 
 def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -123,15 +146,15 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else [], kind))
 
 
-_SKETCH = "doc_id long, n long, d1 long, d2 long, cfg int, keys array<long>, halves array<short>, cfg_up int, keys_up array<long>, halves_up array<short>"
+_SKETCH = "doc_id long, n long, d1 long, d2 long, cfg int, keys array<long>, quarters array<long>, cfg_up int, keys_up array<long>, quarters_up array<long>"
 
 
 def sketches(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """Per row: set size, 128-bit digest of the set, posting keys and half-fragment digests for one or two classes."""
+    """Per row: set size, 128-bit digest of the set, posting keys and quarter digests for one or two classes."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(num, den)
-        none = (np.zeros(0, np.int64), np.zeros(0, np.int16))
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):
                 batch = whole.slice(lo, 2048)
@@ -139,19 +162,19 @@ def sketches(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN) ->
                 for h in gram_sets(batch.column(1), n):
                     c = classes.of(len(h)) if len(h) else 0
                     nxt = c + 1 if len(h) and classes.next_too(len(h), c) else -1
-                    parts = classes.fragments(c) if len(h) else 1
-                    parts_up = classes.fragments(nxt) if nxt > 0 else 1
+                    d = classes.difference(c) if len(h) else 0
+                    d_up = classes.difference(nxt) if nxt > 0 else 0
                     size.append(len(h))
                     d1.append(W.mix(h).sum(dtype=np.uint64))
                     d2.append(W.mix(h ^ _SECOND).sum(dtype=np.uint64))
-                    own.append(postings(h, c, parts) if parts > 1 else none)
-                    up.append(postings(h, nxt, parts_up) if parts_up > 1 else none)
+                    own.append(postings(h, c, d) if d else none)
+                    up.append(postings(h, nxt, d_up) if d_up else none)
                     cfg.append(c)
                     cfg_up.append(nxt)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(size, pa.int64()), pa.array(np.array(d1, np.uint64).view(np.int64)), pa.array(np.array(d2, np.uint64).view(np.int64)),
-                     pa.array(cfg, pa.int32()), _lists([k for k, _ in own], pa.int64()), _lists([f for _, f in own], pa.int16()),
-                     pa.array(cfg_up, pa.int32()), _lists([k for k, _ in up], pa.int64()), _lists([f for _, f in up], pa.int16())],
+                     pa.array(cfg, pa.int32()), _lists([k for k, _ in own], pa.int64()), _lists([f for _, f in own], pa.int64()),
+                     pa.array(cfg_up, pa.int32()), _lists([k for k, _ in up], pa.int64()), _lists([f for _, f in up], pa.int64())],
                     names=[x.split()[0] for x in _SKETCH.split(", ")],
                 )
 
@@ -193,19 +216,31 @@ def members(reps: DataFrame) -> DataFrame:
     return rows.select("key", F.col("first").alias("lead"), "total", F.explode(everyone).alias("rep"))
 
 
-def _halves_of(sketch: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Size, digest and half-fragments of the wanted ids: (id, n, d1, cfg, halves, cfg_up, halves_up)."""
-    got = sketch.select(F.col("doc_id").alias("id"), "n", "d1", "cfg", "halves", "cfg_up", "halves_up").join(wanted, "id", "left_semi")
+def _sized(ids: DataFrame) -> DataFrame:
+    """A list of ids, to be broadcast if it has no more than ``BROADCAST_IDS`` of them."""
+    ids = stored(ids, "ids")
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _quarters_of(sketch: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Size, digest and quarters of the wanted ids: (id, n, d1, cfg, quarters, cfg_up, quarters_up)."""
+    got = sketch.select(F.col("doc_id").alias("id"), "n", "d1", "cfg", "quarters", "cfg_up", "quarters_up")
+    got = got.join(_sized(wanted), "id", "left_semi")
     return got.dropDuplicates(["id", "d1"])
 
 
-def _half(side: str) -> Column:
-    return F.when(F.col(f"{side}.cfg") == F.col("cfg"), F.col(f"{side}.halves")).otherwise(F.col(f"{side}.halves_up"))
+def _quarters(side: str) -> Column:
+    return F.when(F.col(f"{side}.cfg") == F.col("cfg"), F.col(f"{side}.quarters")).otherwise(F.col(f"{side}.quarters_up"))
 
 
 def _may_link(nx: Column, ny: Column, hx: Column, hy: Column, num: int, den: int) -> Column:
-    """Size and half-fragment bounds; true for every pair that links."""
-    differ = F.aggregate(F.zip_with(hx, hy, lambda a, b: (a != b).cast("int")), F.lit(0), lambda s, v: s + v)
+    """Size and quarter bounds; true for every pair that links."""
+    def unlike(a: Column, b: Column) -> Column:  # digests of four bits that differ
+        x = a.bitwiseXOR(b)
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    differ = F.aggregate(F.zip_with(hx, hy, unlike), F.lit(0), lambda s, v: s + v)
     near = (F.least(nx, ny) * den >= F.greatest(nx, ny) * num)
     return near & (differ * (den + num) <= (nx + ny) * (den - num))
 
@@ -214,10 +249,10 @@ def bounded(pairs: DataFrame, sketch: DataFrame, num: int, den: int) -> DataFram
     """Candidate pairs (x, y, cfg) that pass the bounds: (x, dx, nx, y, dy, ny)."""
     pairs = stored(pairs, "pairs")
     ids = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
-    known = _halves_of(sketch, ids)
-    a = known.select(F.col("id").alias("x"), F.struct("n", "d1", "cfg", "halves", "halves_up").alias("a"))
-    b = known.select(F.col("id").alias("y"), F.struct("n", "d1", "cfg", "halves", "halves_up").alias("b"))
-    met = pairs.join(a, "x").join(b, "y").where(_may_link(F.col("a.n"), F.col("b.n"), _half("a"), _half("b"), num, den))
+    known = _quarters_of(sketch, ids)
+    a = known.select(F.col("id").alias("x"), F.struct("n", "d1", "cfg", "quarters", "quarters_up").alias("a"))
+    b = known.select(F.col("id").alias("y"), F.struct("n", "d1", "cfg", "quarters", "quarters_up").alias("b"))
+    met = pairs.join(a, "x").join(b, "y").where(_may_link(F.col("a.n"), F.col("b.n"), _quarters("a"), _quarters("b"), num, den))
     return met.select("x", F.col("a.d1").alias("dx"), F.col("a.n").alias("nx"), "y", F.col("b.d1").alias("dy"), F.col("b.n").alias("ny")).distinct()
 
 
@@ -245,8 +280,7 @@ def fragments(docs: DataFrame, n: int = WORDS, parts: int = FRAGMENTS) -> DataFr
 def counted(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The links among the pairs: partial overlaps per fragment, summed per pair. (x, y, overlap, union)."""
     pairs = stored(pairs, "bounded")
-    ids = stored(pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct(), "ids")
-    known = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    known = _sized(pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct())
     read = docs.select(F.col("doc_id").cast("long"), "text")
     sets = fragments(read.join(known, read["doc_id"] == known["id"], "left_semi"), n).dropDuplicates(["doc_id", "d1"])
     a = sets.select(F.col("doc_id").alias("x"), F.col("d1").alias("dx"), F.col("parts").alias("px"))
@@ -280,16 +314,20 @@ def link_classes(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN
     links = links_of(member.where("rep <> lead").select(F.col("lead").alias("x"), F.col("rep").alias("y"), key_class).distinct())
     labels = components(links)
     rows = _mixed_groups(member, labels)
+    found = 0
     for turn in range(LEADER_ROUNDS):
         drawn = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("draw"), "rep", "component"))
         leads = rows.groupBy("key").agg(drawn.alias("l")).select("key", F.col("l.rep").alias("x"), F.col("l.component").alias("cx"))
         pairs = rows.join(leads, "key").where("component <> cx").select("x", F.col("rep").alias("y"), key_class).distinct()
         new = links_of(pairs)
-        if new.isEmpty():
+        found, last = new.count(), found
+        if not found:
             break
         links = links.unionByName(new)
         labels = components(links)
         rows = _mixed_groups(member, labels)
+        if found < WORTH * last:
+            break
     new = stored(_rest(rows, sketch, docs, n, num, den, key_class), "rest-links")
     if not new.isEmpty():
         labels = components(links.unionByName(new))
@@ -304,18 +342,21 @@ def _rest(rows: DataFrame, sketch: DataFrame, docs: DataFrame, n: int, num: int,
     """Links of the minority members of each mixed group with members of other components."""
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("k"))
     major = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("major"))
-    known = _halves_of(sketch, rows.select(F.col("rep").alias("id")).distinct())
+    known = _quarters_of(sketch, rows.select(F.col("rep").alias("id")).distinct())
     full = rows.select("*", key_class).join(known.withColumnRenamed("id", "rep").withColumnRenamed("cfg", "own_cfg"), "rep")
-    half = F.when(F.col("own_cfg") == F.col("cfg"), F.col("halves")).otherwise(F.col("halves_up"))
-    full = stored(full.join(major, "key").select("key", "rep", "component", "major", "n", "d1", half.alias("halves")), "rest")
-    a = full.where("component <> major").select("key", *[F.col(c).alias(f"{c}_x") for c in ("rep", "component", "n", "d1", "halves")])
-    b = full.select("key", "major", *[F.col(c).alias(f"{c}_y") for c in ("rep", "component", "n", "d1", "halves")])
+    own = F.when(F.col("own_cfg") == F.col("cfg"), F.col("quarters")).otherwise(F.col("quarters_up"))
+    full = stored(full.join(major, "key").select("key", "rep", "component", "major", "n", own.alias("quarters")), "rest")
+    a = full.where("component <> major").select("key", *[F.col(c).alias(f"{c}_x") for c in ("rep", "component", "n", "quarters")])
+    b = full.select("key", "major", *[F.col(c).alias(f"{c}_y") for c in ("rep", "component", "n", "quarters")])
     once = (F.col("component_y") == F.col("major")) | (F.col("rep_x") < F.col("rep_y"))
     other = (F.col("component_x") != F.col("component_y")) & once
-    near = _may_link(F.col("n_x"), F.col("n_y"), F.col("halves_x"), F.col("halves_y"), num, den)
+    near = _may_link(F.col("n_x"), F.col("n_y"), F.col("quarters_x"), F.col("quarters_y"), num, den)
     met = a.join(b, (a["key"] == b["key"]) & other & near)
-    pairs = met.select(F.col("rep_x").alias("x"), F.col("d1_x").alias("dx"), F.col("n_x").alias("nx"), F.col("rep_y").alias("y"), F.col("d1_y").alias("dy"), F.col("n_y").alias("ny"))
-    return counted(pairs.distinct(), docs, n, num, den).select("x", "y")
+    pairs = met.select(F.col("rep_x").alias("x"), F.col("n_x").alias("nx"), F.col("rep_y").alias("y"), F.col("n_y").alias("ny")).distinct()
+    digest = known.select("id", "d1", F.col("n").alias("size"))
+    pairs = pairs.join(digest.select(F.col("id").alias("x"), F.col("d1").alias("dx"), F.col("size").alias("nx")), ["x", "nx"])
+    pairs = pairs.join(digest.select(F.col("id").alias("y"), F.col("d1").alias("dy"), F.col("size").alias("ny")), ["y", "ny"])
+    return counted(pairs.select("x", "dx", "nx", "y", "dy", "ny"), docs, n, num, den).select("x", "y")
 
 
 _SQL = r"""
