@@ -26,7 +26,7 @@ AWKWARD = [
 def test_pieces_give_the_ids_of_the_whole_text():
     path = T.tokenizer_path()
     rnd = random.Random(5)
-    alphabet = list("ab'sT1 2.,!\n\t\r\x0b\x0c\x1c\x1d\x85\xa0    ​   　éß½日퟿") + [" "] * 8
+    alphabet = list("ab'sT1 2.,!;:?é\n\t\r\x0b\x0c\x1c\x1d\x85\xa0    ​   　éß½日퟿") + [" "] * 8
     texts = AWKWARD + ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 60))) for _ in range(3000)]
     got = T.Encoder(path).encode(texts)
     assert [list(g) + [0] for g in got] == brute(texts, path)
