@@ -39,7 +39,7 @@ SEGMENT_TOKENS = 1 << 18
 BLOCK = 512
 LEVELS = 4
 #: Distinct pieces remembered per Python worker, and the longest piece that is.
-CACHED_PIECES, CACHED_CHARS = 600_000, 48
+CACHED_PIECES, CACHED_CHARS = 900_000, 48
 SEGMENT_SCHEMA = (
     "shard int, segment int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, "
     "chunks array<binary>, bitmaps array<binary>, ranks array<binary>"
