@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from wardline.llm import op_decontamination, op_ngram_join, op_toxicity
+from wardline.llm import stages as stages_module
 from wardline.llm.op_tokens import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -49,6 +50,19 @@ def test_one_of_each_group_stays(stages):
     assert all(r["doc_id"] == r["component_id"] for r in op_ngram_join.link_classes(after).collect())
 
 
+def test_near_copies_are_those_of_five_words(spark):
+    from test_ngram_join import brute
+
+    base = [f"w{k}" for k in range(100)]
+    longer = base + [f"x{k}" for k in range(18)]
+    block = base[:40] + [f"y{k}" for k in range(5)] + base[45:]
+    two = [*base[:20], "z1", *base[21:70], "z2", *base[71:]]
+    far = base[:60] + [f"u{k}" for k in range(40)]
+    rows = [(k, " ".join(w)) for k, w in enumerate((base, longer, block, two, far))]
+    after = ids(stages_module.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF))
+    assert after == {0, 4} == {c for _, _, c in brute(rows, 5, 4, 5)}
+
+
 def test_no_benchmark_window_is_left(stages, spark):
     before, after = stages["benchmark_decontamination"]
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
