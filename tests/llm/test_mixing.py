@@ -79,6 +79,36 @@ def test_copies_follow_rates_and_plain_text_stays_whole(spark):
     assert out.join(docs.select("doc_id", F.col("text").alias("t")), "doc_id").where("NOT text <=> t").count() == 0
 
 
+def test_plain_text_stays_whole_when_targets_are_out_of_reach(spark, monkeypatch, caplog):
+    rng = np.random.default_rng(5)
+    n = 1500
+    low = np.where(rng.random(n) < 0.05, 0.9, rng.beta(1, 19, n))  # plain texts are about 5 per cent low on average
+    p = np.stack([low, 1 - low], 1)
+    model = M.Classifier(["low", "plain"], None, None, None, None)
+    monkeypatch.setattr(M, "fit", lambda docs, domains: model)
+    monkeypatch.setattr(M, "memberships", lambda docs, _: docs.select("doc_id", F.lit(100.0).alias("n_tokens"), "p"))
+    seen = {}
+    fit_rates = M.fit_rates
+
+    def kept(*a, **b):
+        seen["rates"] = fit_rates(*a, **b)
+        return seen["rates"]
+
+    monkeypatch.setattr(M, "fit_rates", kept)
+    docs = spark.createDataFrame([(i, "t", [float(x) for x in p[i]]) for i in range(n)], "doc_id long, text string, p array<double>")
+    with caplog.at_level("WARNING"):
+        M.mixed(docs, docs, {"plain": 0.97, "low": 0.03}, whole="plain")
+    start, steps = seen["rates"]
+    rate = M.rates_of(p, start, steps, whole=1)
+    own = p[:, 1] >= p[:, 0]
+    assert rate[own].min() >= 1 and rate.min() >= 0
+    assert M.rates_of(p, start, steps)[own].min() == 0  # without protection some are lost
+    column = docs.select("doc_id", "p", M.rate_column(start, steps, M.least_rate(model, "plain")).alias("r")).orderBy("doc_id").collect()
+    assert np.allclose([r["r"] for r in column], rate)
+    got = rate @ p
+    assert got[0] / got.sum() < p[:, 0].mean() and "low +0." in caplog.text
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 5.0), (2, "", 5.0), (3, "a b c", 5.0), (3, "a b c", 5.0), (None, "d", 5.0)], "doc_id long, text string, rate double")
     none = spark.createDataFrame([(None, "x"), (9, None)], "doc_id long, domain string")

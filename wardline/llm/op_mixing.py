@@ -7,7 +7,8 @@ sought so that the totals are the targets: least squares, solved by projected gr
 document's tokens (so a long text moves no further than a short one), and the residual is measured in the metric of the inverse
 Gram matrix, in which one is a safe step length. One step is one aggregate over the stored vectors; a rate follows from the
 posterior and the step vectors alone, so neither rates nor documents are ever gathered. Targets out of reach are approached in
-that metric, ``MAX_STEPS`` steps far.
+that metric, ``MAX_STEPS`` steps far. A domain can be kept whole: rates of documents that most likely are of it are then
+projected onto [1, inf) instead of [0, inf) at every step, and what is left of the gap to the targets is logged.
 *Copies.* A document of rate r is kept floor(r + u) times, u drawn from the hash of its id: r copies in expectation.
 
 Sample: at most ``PER_DOMAIN`` labelled texts of each domain by the smallest hash. The driver gets word counts of the hash space,
@@ -20,6 +21,7 @@ get zero; repeated rows each count; extra columns are kept; an empty table gives
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
@@ -40,6 +42,7 @@ SLOTS = 1 << 15
 #: Log-odds from which a single word counts as telling.
 STRONG = 1.5
 MAX_STEPS, TOLERANCE = 40, 1e-4
+_log = logging.getLogger(__name__)
 #: Shares of the corpus' tokens that the query asks for.
 TARGETS = {"plain": 0.90, "low": 0.08, "toxic": 0.02}
 
@@ -186,24 +189,36 @@ def wanted(model: Classifier, targets: Mapping[str, float]) -> np.ndarray:
     return share / share.sum() if share.sum() else np.ones(len(share)) / len(share)
 
 
-def rate_column(start: float, steps: list[np.ndarray]) -> Column:
+def least_rate(model: Classifier, whole: str | None) -> Column:
+    """The smallest rate a document may have: one for those that most likely are of the domain ``whole``, else zero."""
+    if whole not in model.domains:
+        return F.lit(0.0)
+    own = F.element_at("p", model.domains.index(whole) + 1) == F.array_max("p")
+    return F.when(own, 1.0).otherwise(0.0)
+
+
+def rate_column(start: float, steps: list[np.ndarray], least: Column | None = None) -> Column:
     """A document's rate after the given steps, from its posterior ``p``."""
-    rate = F.lit(start)
+    least = F.lit(0.0) if least is None else least
+    rate = F.greatest(least, F.lit(start))
     for g in steps:
         move = sum((F.element_at("p", d + 1) * float(v) for d, v in enumerate(g)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - move)
+        rate = F.greatest(least, rate - move)
     return rate
 
 
-def rates_of(p: np.ndarray, start: float, steps: list[np.ndarray]) -> np.ndarray:
-    """The same in NumPy."""
-    rate = np.full(len(p), start)
+def rates_of(p: np.ndarray, start: float, steps: list[np.ndarray], whole: int | None = None) -> np.ndarray:
+    """The same in NumPy; ``whole`` is the number of the domain that is kept whole."""
+    least = np.zeros(len(p)) if whole is None else (p[:, whole] == p.max(1)).astype(float)
+    rate = np.maximum(least, start)
     for g in steps:
-        rate = np.maximum(0.0, rate - p @ g)
+        rate = np.maximum(least, rate - p @ g)
     return rate
 
 
-def fit_rates(vectors: DataFrame, shares: np.ndarray, budget: float | None = None, max_steps: int = MAX_STEPS) -> tuple[float, list[np.ndarray]]:
+def fit_rates(
+    vectors: DataFrame, shares: np.ndarray, budget: float | None = None, max_steps: int = MAX_STEPS, least: Column | None = None
+) -> tuple[float, list[np.ndarray]]:
     """Starting rate and projected-gradient steps towards expected totals of ``shares`` x ``budget`` tokens (default: all there are)."""
     k = len(shares)
     v = [F.col("n_tokens") * F.element_at("p", d + 1) for d in range(k)]
@@ -215,36 +230,54 @@ def fit_rates(vectors: DataFrame, shares: np.ndarray, budget: float | None = Non
     goal = shares * (row["t"] if budget is None else budget)
     start, steps = float(goal.sum() / row["t"]), []
     for _ in range(max_steps):
-        rate = rate_column(start, steps)
-        got = vectors.agg(*[F.sum(v[d] * rate).alias(f"s{d}") for d in range(k)]).first()
-        gap = np.array([got[f"s{d}"] for d in range(k)]) - goal
+        gap = expected(vectors, k, rate_column(start, steps, least)) - goal
         if np.abs(gap).max() <= TOLERANCE * goal.sum():
             break
         steps.append(inverse @ gap)
     return start, steps
 
 
+def expected(vectors: DataFrame, k: int, rate: Column) -> np.ndarray:
+    """The ``k`` domains' expected token totals at a rate."""
+    got = vectors.agg(*[F.sum(F.col("n_tokens") * F.element_at("p", d + 1) * rate).alias(f"s{d}") for d in range(k)]).first()
+    return np.array([got[f"s{d}"] or 0.0 for d in range(k)])
+
+
+def whole_budget(vectors: DataFrame, shares: np.ndarray, whole: int, budget: float | None) -> float | None:
+    """``budget``, raised to what the protected documents, once each, need for their domain's share."""
+    least = F.when(F.col("least") > 0, F.col("n_tokens")).otherwise(0.0)
+    row = vectors.agg(F.sum("n_tokens").alias("t"), F.sum(least * F.element_at("p", whole + 1)).alias("own")).first()
+    if not row["t"] or shares[whole] <= 0:
+        return budget
+    return max(row["t"] if budget is None else budget, row["own"] / float(shares[whole]))
+
+
 def mixed(docs: DataFrame, domains: DataFrame, targets: Mapping[str, float], budget: float | None = None, whole: str | None = None) -> DataFrame:
     """``docs`` with each row as often as its rate says. Runs the fit when called; the texts are not shuffled.
 
-    With ``whole``, a domain, the budget is raised (fourfold at most) until no document that most likely is of it has a rate
-    below one, so none of them is lost; the shares stay as they are.
+    With ``whole``, a domain, no document that most likely is of it has a rate below one, so none of them is lost. The budget is
+    raised where that domain's share of it is less than those documents; a gap to the targets that remains is logged.
     """
     model = fit(docs, domains)
-    vectors = stored(memberships(docs, model), "memberships")
-    start, steps = fit_rates(vectors, wanted(model, targets), budget)
-    if whole in model.domains:
-        own = F.element_at("p", model.domains.index(whole) + 1) == F.array_max("p")
-        least = vectors.where(own).agg(F.min(rate_column(start, steps)).alias("r")).first()["r"]
-        raised = 1 / min(1.0, max(0.25, 1.0 if least is None else least - 1e-9))
-        start, steps = start * raised, [g * raised for g in steps]
+    protected = model.domains.index(whole) if whole in model.domains else None
+    vectors = stored(memberships(docs, model).withColumn("least", least_rate(model, whole)), "memberships")
+    shares, least = wanted(model, targets), F.col("least")
+    if protected is not None:
+        budget = whole_budget(vectors, shares, protected, budget)
+    start, steps = fit_rates(vectors, shares, budget, least=least)
+    if protected is not None:
+        got = expected(vectors, len(shares), rate_column(start, steps, least))
+        gap = got / max(got.sum(), 1e-300) - shares
+        if np.abs(gap).max() > TOLERANCE:
+            said = ", ".join(f"{d} {g:+.4f}" for d, g in zip(model.domains, gap))
+            _log.warning("%s text is kept whole; expected token shares less their targets: %s", whole, said)
     at, names = docs.columns.index("text"), docs.columns
     draw = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 40)) / float(1 << 40), F.lit(0.5))
 
     def repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p, _ = soft(batch.column(at), model)
-            copies = np.floor(rates_of(p, start, steps) + batch.column(len(names)).to_numpy()).astype(np.int64)
+            copies = np.floor(rates_of(p, start, steps, protected) + batch.column(len(names)).to_numpy()).astype(np.int64)
             for lo in range(0, len(copies), 1000):
                 yield batch.select(names).take(pa.array(np.repeat(np.arange(lo, min(lo + 1000, len(copies))), copies[lo : lo + 1000])))
 
