@@ -42,6 +42,32 @@ def test_boilerplate_around_and_inside_is_left_out(name):
     assert got == TEXT
 
 
+WRAPPED = "<h1>A headline</h1><p>A story of a good many words, so that nobody can take it for a menu.</p>"
+STORY = "A headline A story of a good many words, so that nobody can take it for a menu."
+
+
+@pytest.mark.parametrize("outer", [
+    "body class='has-sidebar comments-open'", "div class='content-with-sidebar'", "div class='no-ads'", "div id=sidebar", "form class='search'", "aside", "div class='overflow-hidden'", "div title='hidden'",
+])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_wrappers_do_not_hide_the_content(outer, inner):
+    tag = outer.split()[0]
+    if inner == "div" and (outer == "aside" or "id=sidebar" in outer):  # boilerplate indeed
+        return
+    page = f"<html><{outer}><{inner}>{WRAPPED}</{inner}></{tag}></html>"
+    assert H.extract(page, H.Weights()) == STORY
+
+
+@pytest.mark.parametrize("attribute", ["hidden", "style='display: none'", "aria-hidden=true", 'class="x" hidden=""'])
+def test_hidden_wrappers_stay_hidden(attribute):
+    assert H.extract(f"<body><div {attribute}><article>{WRAPPED}</article></div></body>", H.Weights()) == ""
+
+
+def test_articles_of_comments_stay_out():
+    comments = "<div id='comments'><article><p>I liked it a lot</p></article></div>"
+    assert H.extract(f"<body class='comments-open'><div class='left-sidebar'><article>{WRAPPED}</article></div>{comments}</body>", H.Weights()) == STORY
+
+
 def test_best_run_is_the_maximum():
     rnd = random.Random(2)
     for _ in range(500):

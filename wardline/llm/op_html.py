@@ -7,7 +7,8 @@ article) are left out. Labelled pages are those whose markup names one ``article
 
 Sample: ``MAX_PAGES`` labelled pages by the smallest hash of the id, whole; the driver gets counts per kind of surroundings and tag.
 Elements whose class or id names boilerplate score below zero whatever the labels say, so kinds of pages without a label are
-handled by what their markup says. Extraction is one pass without a shuffle; a page's memory is a small multiple of its size.
+handled by what their markup says. What wraps the content (the page, a form around it, the elements around its longest article or
+main) says nothing by its name or tag, unless it is hidden. Extraction is one pass without a shuffle; a page's memory is a small multiple of its size.
 
 The text: character references decoded, white space within a block one space, blocks joined by one space in page order.
 
@@ -42,8 +43,8 @@ _MARKUP = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 STRUCTURE = frozenset("article aside body button details dialog div dl figcaption figure footer form head header html label main menu nav ol section table title ul".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -57,6 +58,12 @@ BOILERPLATE_NAMES = frozenset(
     "promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored "
     "subscribe tags toc toolbar widget alert".split()
 )
+#: Parts of a name that tells what an element has or has not, not what it is (``has-sidebar``, ``no-ads``).
+STATE_NAMES = frozenset("has no non not with without".split())
+#: Elements whose names are about the whole page.
+UNNAMED = ("html", "body", "form")
+#: Elements of a page that no form of its own holds.
+PAGE_PARTS = ("h1", "header", "nav", "footer", "article", "main")
 #: Scores of words before any label is seen, and of a tag.
 CONTENT, NEUTRAL, BOILERPLATE = 2.0, 1.0, -1.0
 TAG = -0.3
@@ -67,17 +74,24 @@ LEFT_OUT = -0.01
 CONTENT_TAGS = ("article", "main")
 
 
+def _says_boilerplate(name: str) -> bool:
+    """Whether a name of a class, id or role, or its first or last part, is one of boilerplate."""
+    if name in BOILERPLATE_NAMES:
+        return True
+    parts = re.split(r"[-_:]+", name)
+    return not STATE_NAMES.intersection(parts) and (parts[0] in BOILERPLATE_NAMES or parts[-1] in BOILERPLATE_NAMES)
+
+
 def kind_of(tag: str, attributes: str) -> str | None:
     """The kind of surroundings an element makes, None if it makes none of its own."""
-    if attributes:
-        if _HIDDEN.search(attributes):
+    named = False
+    for m in _ATTRIBUTE.finditer(attributes or ""):
+        attribute, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if (attribute == "hidden" and value != "false") or (attribute == "aria-hidden" and value.strip() == "true") or (attribute == "style" and _NO_DISPLAY.search(value)):
             return "!hidden"
-        for m in _NAMES.finditer(attributes):
-            value = (m[1] or m[2] or m[3] or "").lower()
-            for name in value.split():
-                if name in BOILERPLATE_NAMES or any(part in BOILERPLATE_NAMES for part in re.split(r"[-_:]+", name)):
-                    return "!" + tag
-    if tag in BOILERPLATE_TAGS:
+        if attribute in ("class", "id", "role") and tag not in UNNAMED:
+            named = named or any(_says_boilerplate(name) for name in value.split())
+    if named or tag in BOILERPLATE_TAGS:
         return "!" + tag
     return tag if tag in STRUCTURE else None
 
@@ -95,21 +109,83 @@ def inside_of(outer: str, kind: str) -> str:
     return kind
 
 
+def _parts(m: re.Match) -> tuple[str, str, str]:
+    """Name, closing mark and attributes of a tag; no name if it is something else."""
+    return ((m[3] or m[6] or "").lower(), *((m[2], m[4]) if m[3] else (m[5], m[7])))
+
+
+def wrappers(markup: list[re.Match], kinds: list[str | None], size: int) -> set[int]:
+    """Places in ``markup`` of the elements that wrap a page's content, so that neither their names nor their tags tell about it.
+
+    These are the elements around the longest article or main that is not marked itself, and forms that hold parts of the
+    page or most of it.
+    """
+    found: set[int] = set()
+    stack: list[tuple[str, int, int, bool]] = []  # name, place, start of the inside, in something hidden
+    outer: dict[int, int] = {}
+    forms: list[int] = []  # open ones that hold no part of the page yet
+    longest, best = 0, None
+
+    def close(depth: int, end: int) -> None:
+        nonlocal longest, best
+        while len(stack) > depth:
+            tag, i, start, hidden = stack.pop()
+            if tag in CONTENT_TAGS and kinds[i] == tag and not hidden and end - start > longest:
+                longest, best = end - start, i
+            elif tag == "form":
+                if forms and forms[-1] == i:
+                    forms.pop()
+                if 2 * (end - start) > size:
+                    found.add(i)
+
+    for i, m in enumerate(markup):
+        tag, closing, _ = _parts(m)
+        if not tag:
+            continue
+        if closing:
+            for depth in range(len(stack) - 1, -1, -1):
+                if stack[depth][0] == tag:
+                    close(depth, m.start())
+                    break
+        elif tag not in VOID:
+            if tag in PAGE_PARTS:
+                found.update(forms)
+                forms.clear()
+            if tag not in INLINE and stack and stack[-1][0] == "p":
+                close(len(stack) - 1, m.start())
+            if kinds[i] is not None:
+                if tag == "body":
+                    close(0, m.start())
+                if stack:
+                    outer[i] = stack[-1][1]
+                stack.append((tag, i, m.end(), kinds[i] == "!hidden" or bool(stack and stack[-1][3])))
+                if tag == "form":
+                    forms.append(i)
+    close(0, size)
+    while best in outer:
+        best = outer[best]
+        found.add(best)
+    return found
+
+
 def read(page: str) -> Iterator[tuple[str, str, str, str]]:
     """Items of a page in order: ("text", "", text, surroundings) and ("tag", name, "block" or "inline", surroundings)."""
     stack: list[tuple[str, str]] = [("html", "html")]
     at = 0
-    for m in _MARKUP.finditer(page):
+    markup = list(_MARKUP.finditer(page))
+    kinds = [kind_of(tag, attributes) if tag and not closing and tag not in VOID else None for tag, closing, attributes in map(_parts, markup)]
+    for i in wrappers(markup, kinds, len(page)):
+        if kinds[i][0] == "!" and kinds[i] != "!hidden":
+            kinds[i] = "div"
+    for m, kind in zip(markup, kinds):
         if m.start() > at:
             yield "text", "", page[at : m.start()], stack[-1][1]
         at = m.end()
-        tag = m[3] or m[6]
+        tag, closing, _ = _parts(m)
         if not tag:
             if m[1]:
                 yield "tag", m[1].lower(), "block", stack[-1][1]
             continue
-        tag = tag.lower()
-        closing, attributes = (m[2], m[4]) if m[3] else (m[5], m[7])
         if closing:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == tag:
@@ -118,7 +194,6 @@ def read(page: str) -> Iterator[tuple[str, str, str, str]]:
         elif tag not in VOID:
             if tag not in INLINE and stack[-1][0] == "p":
                 stack.pop()
-            kind = kind_of(tag, attributes)
             if kind is not None:
                 if tag == "body":  # ends the head
                     stack = stack[:1]
