@@ -98,6 +98,49 @@ def test_repeats_equal_brute_force(spark):
         assert clean[i] == t if t is None else len(clean[i].encode()) == len(t.encode()) - removed
 
 
+def test_short_passages_at_any_place_are_found_to_the_byte(spark):
+    rnd = random.Random(7)
+    rows, planted = [], {}
+    for k in range(150):
+        passage = words(rnd, 51)
+        for i in (2 * k, 2 * k + 1):
+            before, after = (" ".join(f"{rnd.randrange(10**9)}" for _ in range(rnd.randint(1, 40))) for _ in range(2))
+            rows.append((i, f"{before} {passage} {after}"))
+        planted[2 * k + 1] = passage
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["id"]: r for r in S.passages(docs).collect()}
+    assert len(S.repeats(docs).collect()) < len(rows)  # whole chunks miss some
+    assert set(got) == {i for i, _ in rows}
+    clean = {r["doc_id"]: r["text"] for r in S.without_passages(docs).collect()}
+    text = dict(rows)
+    for i, passage in planted.items():
+        n = len(passage.encode())
+        assert n <= got[i]["removed_bytes"] <= n + 6 and got[i - 1]["repeat_bytes"] == got[i]["repeat_bytes"]
+        assert got[i - 1]["removed_bytes"] == 0 and clean[i - 1] == text[i - 1]
+        assert len(clean[i].encode()) == len(text[i].encode()) - got[i]["removed_bytes"] and passage[8:-8] not in clean[i]
+
+
+def test_every_stretch_of_the_passage_length_holds_an_anchor():
+    rnd = random.Random(6)
+    for _ in range(300):
+        data = [np.frombuffer((words(rnd, 30) + p + words(rnd, 30)).encode(), np.uint8) for p in [words(rnd, 60)] for _ in "ab"]
+        keys = []
+        for d in data:
+            starts, key, first = S.windows(np.concatenate([d, d[:9], d]), np.cumsum([0, len(d), 9, len(d)]))
+            assert first[1] == first[2] and np.diff(np.append(starts[: first[1]], len(d) - S.ANCHOR)).max() <= S.MIN_RUN - S.ANCHOR + 1
+            keys.append(set(key.tolist()))
+        assert keys[0] & keys[1]
+
+
+def test_passages_take_odd_rows(spark):
+    rnd = random.Random(8)
+    p = words(rnd, 60)
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, p), (3, p), (3, "é " + p), (None, p + " x"), (None, "y " + p)], "doc_id long, text string")
+    got = S.passages(docs)
+    assert got.where("id = 3").count() == 2 and S.without_passages(docs).count() == 7
+    assert S.passages(docs.where("false")).count() == 0 and S.without_passages(docs.where("false")).count() == 0
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.repeats(docs).count() == 0 and S.deduplicated(docs).count() == 0

@@ -4,6 +4,10 @@ A gear hash rolls over every text's bytes; a chunk ends where certain bits of it
 bytes. Those bits depend on the last 16 bytes only, so an insertion moves the chunks around it and no others. Chunks meet by
 the 64-bit digest of their bytes; what occurs more than once is shared. The first occurrence (smallest id, then place) is kept.
 Shared chunks count where they stand in an unbroken run of ``MIN_RUN`` bytes or more, so a phrase in passing is left alone.
+A passage seldom begins and ends with a chunk and may hold no whole one, so ``passages`` (what the query reports) also posts the smallest
+hash of ``ANCHOR`` bytes in every window: a stretch of ``MIN_RUN`` bytes always holds one. Every shared chunk or window is an
+anchor; it is extended byte by byte against the text of its first occurrence, and ``MIN_RUN`` applies to what is shared. Only
+texts with anchors are joined for that. ``repeats`` and ``deduplicated`` stay with whole chunks; ``without_passages`` cuts to the byte.
 
 Occurrences are combined per batch before the shuffle (one row per digest and batch), so a passage that a third of all
 texts share is a few rows per batch in its task. Only shared chunks go on; a text is never shuffled to find them.
@@ -19,16 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardline.llm import words as W
+from wardline.llm.op_ngram_join import _sized
 from wardline.llm.registry import query, table
 from wardline.sources.tables import stored
 
 MIN_CHUNK, MAX_CHUNK = 24, 120
 #: Bytes of unbroken shared chunks from which a passage counts as repeated.
 MIN_RUN = 140
+#: Bytes of an anchor; one is posted of each ``MIN_RUN - ANCHOR + 1`` neighbours, the one with the smallest hash.
+ANCHOR = 24
 #: Bits of the gear hash that are zero at the end of a chunk: one place in 32 on average, 16 bytes deep.
 MASK = 0xF800
 _GEAR = np.random.default_rng(7919).integers(0, 1 << 16, 256, dtype=np.uint16)
@@ -73,49 +80,100 @@ def chunk_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return begins, ends, np.array(first)
 
 
-_ROWS = "key long, size int, ids array<long>, places array<int>"
+def _slide(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """``pick`` over the ``width`` values from each place on (fewer at the end)."""
+    x, c = x.copy(), 1
+    while 2 * c <= width:
+        x[:-c] = pick(x[:-c], x[c:])
+        c *= 2
+    if width > c and len(x) > width - c:
+        x[: c - width] = pick(x[: c - width], x[width - c :])
+    return x
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """One row per chunk digest and batch: (key, size, ids, places), the smallest (id, place) first."""
+def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and keys of the anchors in the texts, and for each text the index of its first one."""
+    starts = np.arange(max(0, len(data) - ANCHOR + 1))
+    if not len(starts):
+        return starts, np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    keys = W.mix(W.span_hashes(data, starts, starts + ANCHOR) + W.U64(1))
+    rank, none = (keys >> W.U64(32)).astype(np.uint32), np.uint32(0xFFFFFFFF)
+    for k in range(1, ANCHOR):  # those that would run into the next text
+        at = offsets[1:-1] - k
+        rank[at[(at >= 0) & (at < len(rank))]] = none
+    width = MIN_RUN - ANCHOR + 1
+    least = _slide(rank, width, np.minimum)
+    chosen = np.flatnonzero((_slide(least[::-1], width, np.maximum)[::-1] == rank) & (rank != none))
+    return chosen, keys[chosen].view(np.int64), np.searchsorted(chosen, offsets)
+
+
+_NO_ID = -(1 << 63)
+_ROWS = "key long, size int, ids array<long>, texts array<long>, places array<int>, starts array<int>"
+
+
+def occurrences(docs: DataFrame, anchored: bool = False) -> DataFrame:
+    """One row per chunk digest and batch: (key, size, ids, texts, places, starts), the smallest (id, text digest, start) first.
+
+    With ``anchored``, windows too; their place is -1.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-            key, size, who, place = [], [], [], []
+            digests = batch.column(2).to_numpy(zero_copy_only=False)
+            key, size, who, text, place, begin = [], [], [], [], [], []
             for row, end, data, offsets in W.chunks(batch.column(1)):
                 starts, ends, first = chunk_bounds(data, offsets)
                 key.append(W.span_hashes(data, starts, ends).view(np.int64))
                 size.append(ends - starts)
                 who.append(np.repeat(ids[row:end], np.diff(first)))
+                text.append(np.repeat(digests[row:end], np.diff(first)))
+                begin.append(starts - np.repeat(offsets[:-1], np.diff(first)))
                 place.append(np.arange(len(starts)) - np.repeat(first[:-1], np.diff(first)))
+                if anchored:
+                    starts, hashes, first = windows(data, offsets)
+                    key.append(hashes)
+                    size.append(np.full(len(starts), ANCHOR))
+                    who.append(np.repeat(ids[row:end], np.diff(first)))
+                    text.append(np.repeat(digests[row:end], np.diff(first)))
+                    place.append(np.full(len(starts), -1))
+                    begin.append(starts - np.repeat(offsets[:-1], np.diff(first)))
             if not key:
                 continue
-            key, size, who, place = (np.concatenate(x) for x in (key, size, who, place))
+            key, size, who, text, place, begin = (np.concatenate(x) for x in (key, size, who, text, place, begin))
             if not len(key):
                 continue
-            order = np.lexsort((place, who, key))
-            key, size, who, place = key[order], size[order], who[order], place[order]
+            order = np.lexsort((begin, text, who, key))
+            key, size, who, text, place, begin = (x[order] for x in (key, size, who, text, place, begin))
             head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             offsets = pa.array(np.append(head, len(key)).astype(np.int32))
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(key[head]), pa.array(size[head].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(who)), pa.ListArray.from_arrays(offsets, pa.array(place.astype(np.int32)))],
-                names=["key", "size", "ids", "places"],
-            )
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (who, text, place.astype(np.int32), begin.astype(np.int32))]
+            out = pa.RecordBatch.from_arrays([pa.array(key[head]), pa.array(size[head].astype(np.int32)), *lists], names=["key", "size", "ids", "texts", "places", "starts"])
             for lo in range(0, out.num_rows, 50_000):
                 yield out.slice(lo, 50_000)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(read, _ROWS)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text)).mapInArrow(read, _ROWS)
+
+
+def anchors(docs: DataFrame, anchored: bool = True) -> DataFrame:
+    """Every occurrence of a chunk or window that occurs more than once, and the first one: (id, hash, place, start, size, origin)."""
+    group = Window.partitionBy("key")
+    rows = occurrences(docs, anchored).withColumn("total", F.sum(F.size("ids")).over(group))
+    head = [F.get(c, 0).alias(n) for c, n in (("ids", "id"), ("texts", "hash"), ("starts", "start"))]
+    rows = rows.withColumn("origin", F.min(F.struct(*head)).over(group)).where("total > 1")
+    one = rows.select("size", "origin", F.explode(F.arrays_zip("ids", "texts", "places", "starts")).alias("o"))
+    own = [F.col(f"o.{c}").alias(n) for c, n in (("ids", "id"), ("texts", "hash"), ("places", "place"), ("starts", "start"))]
+    return one.select(*own, "size", "origin")
+
+
+def _is_first() -> Column:
+    return (F.col("id") == F.col("origin.id")) & (F.col("hash") == F.col("origin.hash")) & (F.col("start") == F.col("origin.start"))
 
 
 def shared_chunks(docs: DataFrame) -> DataFrame:
     """Every occurrence of a chunk that occurs more than once: (doc_id, place, size, first)."""
-    group = Window.partitionBy("key")
-    rows = occurrences(docs).withColumn("total", F.sum(F.size("ids")).over(group))
-    rows = rows.withColumn("origin", F.min(F.struct(F.get("ids", 0).alias("id"), F.get("places", 0).alias("place"))).over(group)).where("total > 1")
-    one = rows.select("size", "origin", F.explode(F.arrays_zip("ids", "places")).alias("o"))
-    first = (F.col("o.ids") == F.col("origin.id")) & (F.col("o.places") == F.col("origin.place"))
-    return one.select(F.col("o.ids").alias("doc_id"), F.col("o.places").alias("place"), "size", first.alias("first")).where(F.col("doc_id") > -(1 << 63))
+    return anchors(docs, anchored=False).where(F.col("id") > _NO_ID).select(F.col("id").alias("doc_id"), "place", "size", _is_first().alias("first"))
 
 
 def repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
@@ -162,10 +220,141 @@ def deduplicated(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     return marked.mapInArrow(cut, docs.schema)
 
 
+def _same(a: np.ndarray, b: np.ndarray) -> int:
+    """How many bytes the two have in common from their beginning."""
+    n, at, step = min(len(a), len(b)), 0, 256
+    while at < n:
+        differ = np.flatnonzero(a[at : min(at + step, n)] != b[at : min(at + step, n)])
+        if len(differ):
+            return at + int(differ[0])
+        at, step = min(at + step, n), 2 * step
+    return n
+
+
+def extended(own: np.ndarray, other: np.ndarray, hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Shared stretches (begin, end, begin in ``other``) around the hits (start, start in ``other``, size), to whole characters."""
+    out: list[tuple[int, int, int]] = []
+    reach: dict[int, int] = {}
+    for start, there, size in sorted(hits):
+        shift = there - start
+        if reach.get(shift, -1) >= start + size:
+            continue
+        begin = start - _same(own[:start][::-1], other[:there][::-1])
+        end = start + size + _same(own[start + size :], other[there + size :])
+        reach[shift] = end
+        while begin < end and own[begin] & 0xC0 == 0x80:
+            begin += 1
+        while end > begin and (end < len(own) and own[end] & 0xC0 == 0x80 or end + shift < len(other) and other[end + shift] & 0xC0 == 0x80):
+            end -= 1
+        out.append((begin, end, begin + shift))
+    return out
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans as disjoint spans in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+_SPAN = "id long, hash long, a int, b int, gone boolean"
+
+
+def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+    columns = list(zip(*rows)) if rows else [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["id", "hash", "a", "b", "gone"])
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+
+
+def passages(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+    """Repeated passages to the byte: (id, hash, repeat_bytes, removed_bytes, longest_run, cuts), one row per text. Runs jobs when called."""
+    found = stored(anchors(docs), "anchors")
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, h, chunks in zip(*(c.to_pylist() for c in batch.columns)):
+                rows = sorted({(c["start"], c["start"] + c["size"], c["first"]) for c in chunks})
+                long = [(a, b) for a, b in merged([(a, b) for a, b, _ in rows]) if b - a >= min_run]
+                at = 0
+                for a, b, first in rows:
+                    while at < len(long) and long[at][1] <= a:
+                        at += 1
+                    if at < len(long) and long[at][0] <= a:
+                        out.append((i, h, a, b, not first))
+            yield _span_batch(out)
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, h, oi, oh, hits, own, other in zip(*(c.to_pylist() for c in batch.columns)):
+                x, y = (np.frombuffer(t.encode(), np.uint8) for t in (own, other))
+                for a, b, there in extended(x, y, [(c["start"], c["there"], c["size"]) for c in hits]):
+                    if b - a >= min_run:
+                        out += [(i, h, a, b, True), (oi, oh, there, there + b - a, False)]
+            yield _span_batch(out)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, h, spans in zip(*(c.to_pylist() for c in batch.columns)):
+                every, gone = merged([(s["a"], s["b"]) for s in spans]), merged([(s["a"], s["b"]) for s in spans if s["gone"]])
+                sizes = [b - a for a, b in every]
+                out.append((i, h, sum(sizes), sum(b - a for a, b in gone), max(sizes), [x for ab in gone for x in ab]))
+            columns = list(zip(*out)) if out else [[]] * 6
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())]
+            names = ["id", "hash", "repeat_bytes", "removed_bytes", "longest_run", "cuts"]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
+
+    grouped = found.where("place >= 0").groupBy("id", "hash").agg(F.collect_list(F.struct("start", "size", _is_first().alias("first"))).alias("chunks"))  # one text's own
+    whole = grouped.mapInArrow(runs, _SPAN)
+    hit = F.struct("start", F.col("origin.start").alias("there"), "size")
+    pairs = found.where(~_is_first()).groupBy("id", "hash", F.col("origin.id").alias("oid"), F.col("origin.hash").alias("ohash")).agg(F.collect_set(hit).alias("hits"))
+    pairs = stored(pairs, "anchor-pairs")
+    ids = _sized(pairs.select("id", "hash").unionByName(pairs.select(F.col("oid").alias("id"), F.col("ohash").alias("hash"))).distinct())
+    texts = stored(_texts(docs).join(ids, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"]), "anchor-texts")
+    origins = texts.select(F.col("id").alias("oid"), F.col("hash").alias("ohash"), F.col("text").alias("other"))
+    both = pairs.join(texts, ["id", "hash"]).join(origins, ["oid", "ohash"]).select("id", "hash", "oid", "ohash", "hits", "text", "other")
+    spans = whole.unionByName(both.mapInArrow(extend, _SPAN)).distinct()
+    per_text = spans.groupBy("id", "hash").agg(F.collect_list(F.struct("a", "b", "gone")).alias("spans"))  # one text's own
+    return per_text.mapInArrow(sums, "id long, hash long, repeat_bytes long, removed_bytes long, longest_run long, cuts array<int>")
+
+
+def without_passages(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+    """``docs`` with every repeated passage but its first occurrence cut out of ``text``, to the byte. Runs the search when called."""
+    gone = passages(docs, min_run).where(F.col("removed_bytes") > 0).where(F.col("id") > _NO_ID)
+    gone = stored(gone.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), F.col("cuts").alias("_cuts")), "passages")
+    marked = docs.join(gone, (docs["doc_id"] == gone["_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_hash"]), "left").drop("_id", "_hash")
+    at, names = docs.columns.index("text"), docs.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for i, cuts in enumerate(batch.column(len(names)).to_pylist()):
+                if cuts and texts[i]:
+                    data = texts[i].encode()
+                    edges = [0, *cuts, len(data)]
+                    texts[i] = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])).decode()
+            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return marked.mapInArrow(cut, docs.schema)
+
+
 @query("op7_substring_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = repeats(docs).drop("removed").withColumnRenamed("doc_id", "found_id")
+    found = passages(docs).where(F.col("id") > _NO_ID).groupBy(F.col("id").alias("found_id"))
+    found = found.agg(F.sum("repeat_bytes").alias("repeat_bytes"), F.sum("removed_bytes").alias("removed_bytes"), F.max("longest_run").alias("longest_run"))
     sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("repeat_bytes", "removed_bytes", "longest_run")]
     return sizes.join(found, sizes["doc_id"] == found["found_id"], "left").select("doc_id", "n_bytes", *zero, F.col("found_id").isNotNull().alias("has_repeat"))
