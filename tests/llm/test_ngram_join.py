@@ -112,6 +112,23 @@ def test_linking_sets_share_a_posting_key():
         assert keys[0] & keys[1]
 
 
+def test_linking_sets_share_a_key_at_a_low_threshold_without_many_keys():
+    rng = np.random.default_rng(4)
+    classes = J.Classes(4, 5)
+    for n in [*rng.integers(10, 400, 1500).tolist(), 20_000]:
+        x = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        drop, add = rng.integers(0, n // 7 + 2, 2)
+        y = np.unique(np.concatenate([rng.permutation(x)[drop:], rng.integers(0, 1 << 64, add, dtype=np.uint64)]))
+        k, keys = len(np.intersect1d(x, y)), []
+        for s in (x, y):
+            c = classes.of(len(s))
+            at = [c, c + 1] if classes.next_too(len(s), c) else [c]
+            keys.append({int(v) for a in at if classes.difference(a) for v in J.postings(s, a, classes.difference(a), classes.spare)[0]})
+        if k * 5 >= 4 * (len(x) + len(y) - k) and k != max(len(x), len(y)):
+            assert keys[0] & keys[1]
+        assert n < 400 or max(map(len, keys)) < 2 * n
+
+
 def test_components_of_a_long_path(spark):
     links = spark.range(300).selectExpr("id x", "id + 1 y")
     got = {r["node"]: r["component"] for r in components(links).collect()}

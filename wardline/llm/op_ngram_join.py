@@ -63,11 +63,14 @@ class Classes:
 
     def __init__(self, num: int = NUM, den: int = DEN):
         self.num, self.den, self.low = num, den, [1]
+        #: Below the query's threshold sets may differ in much of themselves: classes are narrower, fragments twice as many.
+        self.spare = num * DEN < NUM * den
+        self.power = 1 if self.spare else 3
 
     def of(self, n: int) -> int:
         while self.low[-1] <= n:
             at = self.low[-1]
-            self.low.append(max(at + 1, -(-at * self.den**3 // self.num**3)))
+            self.low.append(max(at + 1, -(-at * self.den**self.power // self.num**self.power)))
         return bisect_right(self.low, n) - 1
 
     def difference(self, c: int) -> int:
@@ -117,9 +120,16 @@ def choices(d: int) -> np.ndarray:
     return np.array(list(combinations(range(f), f - d)))
 
 
-def postings(h: np.ndarray, c: int, d: int) -> tuple[np.ndarray, np.ndarray]:
-    """Posting keys of a set in class ``c`` (the class in the low bits) and the digests of its fragments' quarters."""
+def postings(h: np.ndarray, c: int, d: int, spare: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Posting keys of a set in class ``c`` (the class in the low bits) and the digests of its fragments' quarters.
+
+    With ``spare``, a long set is cut into twice d + 1 fragments. If more than d of them hold something, one of those agrees in
+    any set that links, so the empty ones need no posting.
+    """
     chosen = choices(d)
+    spare = spare and chosen.shape[1] == 1
+    if spare:
+        chosen = np.arange(2 * (d + 1))[:, None]
     parts = int(chosen.max()) + 1
     sums, sizes = _cut(h, W.mix(h ^ _SECOND), 4 * parts)
     place = np.arange(parts, dtype=np.uint64) + W.U64(c << 40)
@@ -127,7 +137,9 @@ def postings(h: np.ndarray, c: int, d: int) -> tuple[np.ndarray, np.ndarray]:
     keys = W.mix(quarters.sum(1, dtype=np.uint64) + W.mix(place))
     keys = W.mix(keys[chosen].sum(1, dtype=np.uint64))
     empty = np.flatnonzero(sizes.reshape(-1, 4).sum(1)[chosen].sum(1) == 0)
-    if len(empty):
+    if spare and len(keys) - len(empty) > d:
+        keys = np.delete(keys, empty)
+    elif len(empty):
         other = np.sort(W.mix(h + _SECOND))
         again, _ = _cut(other, W.mix(other), parts)
         again = W.mix(again + W.mix(place + W.U64(1 << 32)))[chosen].sum(1, dtype=np.uint64)
@@ -167,8 +179,8 @@ def sketches(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN) ->
                     size.append(len(h))
                     d1.append(W.mix(h).sum(dtype=np.uint64))
                     d2.append(W.mix(h ^ _SECOND).sum(dtype=np.uint64))
-                    own.append(postings(h, c, d) if d else none)
-                    up.append(postings(h, nxt, d_up) if d_up else none)
+                    own.append(postings(h, c, d, classes.spare) if d else none)
+                    up.append(postings(h, nxt, d_up, classes.spare) if d_up else none)
                     cfg.append(c)
                     cfg_up.append(nxt)
                 yield pa.RecordBatch.from_arrays(
