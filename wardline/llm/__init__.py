@@ -7,7 +7,7 @@ import importlib
 #: Modules with registered queries.
 FAMILIES = (
     "op_token_counts", "op_tokens", "op_language", "op_html", "op_mixing", "op_quality", "op_substring", "op_toxicity", "op_ngram_join", "op_decontamination",
-    "op_filter_audit", "op_alignment",
+    "op_filter_audit", "op_alignment", "op_embedding_graph",
 )
 
 
