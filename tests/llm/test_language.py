@@ -21,6 +21,13 @@ def test_slots_are_the_grams_of_the_folded_text():
     assert len(a) == len({p for n in range(1, 5) for p in [" ab c "[i : i + n] for i in range(7 - n)]})
 
 
+def test_letters_above_the_basic_plane():
+    emoji, digits, gothic, deseret, small = (set(s.tolist()) for s in L.slots_of(pa.array(["😀😀", "𝟙𝟚 😀 123", "a 𐌰𐌱", "𐐀😀𐐁", "𐐨 𐐩"])))
+    assert emoji == digits == set() and gothic and deseret == small != set()
+    # by hand: all n-grams of the folded text, n from 1 to 4
+    assert len(gothic) == len({p for n in range(1, 5) for p in [" a 𐌰𐌱 "[i : i + n] for i in range(7 - n)]})
+
+
 def test_kernel_blocks_equal_single_kernels():
     slots = [s for s in L.slots_of(pa.array(["one text here", "another text", "und noch einer", ""]))]
     used = np.unique(np.concatenate(slots))
@@ -38,11 +45,11 @@ def test_kernel_blocks_equal_single_kernels():
 
 def test_odd_rows(spark):
     docs = spark.createDataFrame(
-        [(1, None, "en", 1), (2, "", "de", 1), (3, "12 34", "en", 1), (4, "hello there", "en", 1), (5, "guten tag", "de", 1), (5, "guten tag", "de", 1), (None, "hello", "en", 1), (6, "日本 語", None, 1)],
+        [(1, None, "en", 1), (2, "", "de", 1), (3, "12 34", "en", 1), (4, "hello there", "en", 1), (5, "guten tag", "de", 1), (5, "guten tag", "de", 1), (None, "hello", "en", 1), (6, "日本 語", None, 1), (7, "😀😀", None, 1), (8, "𝟙𝟚 😀 123", "en", 1)],
         "doc_id long, text string, lang string, score int",
     )
     got = sorted((r["doc_id"] or 0, r["lang_pred"]) for r in L.predicted(docs, L.fit(docs)).collect())
-    assert got[1:6] == [(1, "und"), (2, "und"), (3, "und"), (4, "en"), (5, "de")] and got[0] == (0, "en") and len(got) == 8
+    assert got[1:6] == [(1, "und"), (2, "und"), (3, "und"), (4, "en"), (5, "de")] and got[0] == (0, "en") and got[-2:] == [(7, "und"), (8, "und")] and len(got) == 10
     assert {r["lang_pred"] for r in L.predicted(docs, None).collect()} == {"und"}
     assert L.fit(docs.where("false")) is None
     assert L.predicted(docs.where("false"), None).count() == 0

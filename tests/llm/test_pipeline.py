@@ -46,8 +46,9 @@ def test_one_of_each_group_stays(stages):
 
     before, after = stages["ngram_jaccard_join"]
     rows = [(r["doc_id"], r["text"]) for r in before.select("doc_id", "text").collect()]
-    assert ids(after) == {c for _, _, c in brute(rows)}
-    assert all(r["doc_id"] == r["component_id"] for r in op_ngram_join.link_classes(after).collect())
+    rule = (stages_module.NEAR_WORDS, stages_module.NEAR_NUM, stages_module.NEAR_DEN)
+    assert ids(after) == {c for _, _, c in brute(rows, *rule)}
+    assert all(r["doc_id"] == r["component_id"] for r in op_ngram_join.link_classes(after, *rule).collect())
 
 
 def test_near_copies_are_those_of_five_words(spark):
@@ -75,7 +76,6 @@ def test_token_file_holds_the_mixed_documents(stages):
 
     before, after = stages["token_id_output"]
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     expected, start = [], 0
     for r in before.orderBy("doc_id", "text").collect():
         tokens = tok.encode(r["text"] or "", add_special_tokens=False).ids + [0]

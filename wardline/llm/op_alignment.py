@@ -42,6 +42,8 @@ from wardline.sources.tables import stored
 HOT_PAIRS = 1 << 20
 #: Pair codes that a task sums before it sends them on.
 HELD_CODES = 1 << 22
+#: Bytes of text aligned at a time; a longer text is aligned alone.
+ALIGNED_BYTES = 1 << 20
 #: Needles between two that are found first.
 FAN = 32
 _pairs: dict[tuple[str, str], "TokenizerPair"] = {}
@@ -228,7 +230,7 @@ def _batches(batches: Iterator[pa.RecordBatch], pair: TokenizerPair) -> Iterator
     for batch in batches:
         texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
         spaced = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
-        for first, end, data, offsets in chunks(spaced):
+        for first, end, data, offsets in chunks(spaced, ALIGNED_BYTES):
             yield batch.column(0).slice(first, end - first), align(pair, data, offsets)
 
 

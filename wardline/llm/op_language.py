@@ -40,6 +40,12 @@ _LETTER = np.array([chr(c).isalpha() for c in range(BMP)], bool)
 _FOLD = np.where(_LETTER, LOWER_CHARS, 32).astype(np.uint32)
 
 
+def _fold(char: str) -> int:
+    """Code point of the lower-case letter; a space for anything else."""
+    lower = char.lower()
+    return ord(lower if len(lower) == 1 else char) if char.isalpha() else 32
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -55,8 +61,11 @@ def slots_of(texts: pa.Array) -> Iterator[np.ndarray]:
         heads = np.zeros(len(data) + 1, np.int64)
         np.cumsum((data & 0xC0) != 0x80, out=heads[1:])
         at = heads[offsets]
-        high = chars >= BMP
-        folded = np.where(high, chars, _FOLD[np.minimum(chars, BMP - 1)])
+        folded = _FOLD[np.minimum(chars, BMP - 1)]
+        high = np.flatnonzero(chars >= BMP)
+        if len(high):  # rare: each distinct one is looked up
+            kinds, which = np.unique(chars[high], return_inverse=True)
+            folded[high] = np.array([_fold(chr(c)) for c in kinds.tolist()], np.uint32)[which]
         for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
             c = folded[a:b]
             space = c == 32

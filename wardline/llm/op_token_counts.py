@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,10 +75,10 @@ class Rollup:
         """A rollup in ``target`` with one snapshot in the place of this one's batches; their ids stay committed there."""
         new = Rollup(self.spark, target)
         ids = self.batches()
+        self.totals().write.mode("overwrite").parquet(f"{new.folder}/batch=snapshot-of-{len(ids)}")  # first: a reader never sees less
         for b in ids:
             if not new.committed(b):
                 self.spark.createDataFrame([], _DELTA).write.mode("overwrite").parquet(f"{new.folder}/batch={b}")
-        self.totals().write.mode("overwrite").parquet(f"{new.folder}/batch=snapshot-of-{len(ids)}")
         return new
 
 
@@ -97,11 +98,9 @@ def counted(docs: DataFrame, path: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                n = [len(x) for x in encoder.encode(batch.column(4).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int64())], names=["doc_id", "source", "lang", "digest", "n_tokens"])
+        for batch in batches:
+            n = np.concatenate([counts for _, _, counts in encoder.batches(batch.column(4))] or [np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n)], names=["doc_id", "source", "lang", "digest", "n_tokens"])
 
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), digest.alias("digest"), F.col("text").cast("string"))

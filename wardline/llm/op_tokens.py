@@ -9,9 +9,9 @@ A token file is a folder of Parquet rows, one row per segment, so Spark's writer
 only repeat their tasks. Documents are dealt to shards by ranges of ``doc_id`` and sorted in them: shards, segments in a
 shard and documents in a segment are in ascending order.
 
-Encoding asks the tokenizer for each distinct piece of a text once per worker. Texts are cut only where white space follows
-a non-white character or punctuation a letter, places that the byte-level pre-tokenizer always cuts as well, so the ids are
-those of the whole text.
+Encoding asks the tokenizer for each distinct piece of a text once per worker (``pieces``). Texts are cut only where the
+byte-level pre-tokenizer always cuts as well, and never inside a special token's string, so the ids are those of the whole
+text; such a string is the special token, as the tokenizer file says.
 
 Nulls and edge cases: a null or empty text is the end id alone; repeated ids are kept, in text order; a null ``doc_id``
 comes first; extra columns are ignored; an empty table gives an empty file.
@@ -19,9 +19,7 @@ comes first; extra columns are ignored; an empty table gives an empty file.
 
 from __future__ import annotations
 
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +28,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wardline.llm.pieces import Book, cuts
 from wardline.llm.registry import query, table
+from wardline.llm.words import chunks
 from wardline.sources.tables import work_dir
 
 #: Tokens after which a segment is closed.
@@ -38,16 +38,10 @@ SEGMENT_TOKENS = 1 << 18
 #: Bits per entry of a rank directory.
 BLOCK = 512
 LEVELS = 4
-#: Distinct pieces remembered per Python worker, and the longest piece that is.
-CACHED_PIECES, CACHED_CHARS = 900_000, 48
 SEGMENT_SCHEMA = (
     "shard int, segment int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, "
     "chunks array<binary>, bitmaps array<binary>, ranks array<binary>"
 )
-# Unicode white space, as the pre-tokenizer knows it.
-_SPACE = "\t-\r \x85\xa0  -     　"
-# White space with what follows it; letters end before ASCII punctuation, where the pre-tokenizer cuts too.
-_PIECE = re.compile(f"[{_SPACE}]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[,.;:!?])|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -64,8 +58,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.book = Book(self._learn)
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -73,26 +66,22 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        got = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)  # without offsets
-        return {p: array("I", e.ids).tobytes() for p, e in zip(pieces, got)}
+    def _learn(self, pieces: list[bytes]) -> tuple[list[list], list[bool]]:
+        got = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)  # without offsets
+        return [[e.ids for e in got]], [True] * len(got)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def batches(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For runs of whole texts: the first text's row, all ids, and the number of ids of each text."""
+        for first, end, data, offsets in chunks(texts):
+            starts = cuts(data, offsets)
+            ids, counts = self.book.tokens(self.book.codes(data, starts))
+            text = np.searchsorted(offsets, starts, side="right") - 1
+            yield first, ids, np.bincount(text, counts, end - first).astype(np.int64)
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
         """Ids of each whole text."""
-        cut = [_PIECE.findall(t) if t else [] for t in texts]
-        new = {p for pieces in cut for p in pieces}.difference(self.known)
-        fresh = self._learn(list(new)) if new else {}
-        if len(self.known) + len(fresh) > CACHED_PIECES:
-            needed = {p: self.known[p] for pieces in cut for p in pieces if p in self.known}
-            self.known = {}
-            fresh = {**needed, **fresh}
-        look = self.known
-        look.update(fresh)
-        out = [np.frombuffer(b"".join(map(look.__getitem__, pieces)), np.uint32) for pieces in cut]
-        for p in fresh:
-            if len(p) > CACHED_CHARS:
-                del look[p]
-        return out
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        return [part for _, ids, counts in self.batches(texts) for part in np.split(ids.astype(np.uint32), np.cumsum(counts)[:-1])]
 
 
 def pack(ids: np.ndarray) -> tuple[list[bytes], list[bytes], list[bytes]]:
@@ -149,23 +138,28 @@ def segments(docs: DataFrame, path: str, end_id: int = 0, segment_tokens: int =
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, number = Encoder.of(path), TaskContext.get().partitionId(), 0
         names: list[int | None] = []
+        lengths: list[int] = []
         held: list[np.ndarray] = []
         size = 0
 
         def close() -> pa.RecordBatch:
-            nonlocal names, held, size, number
-            chunks, bitmaps, ranks = pack(np.concatenate(held))
-            row = [shard, number, size, names, [len(x) for x in held], chunks, bitmaps, ranks]
-            number, names, held, size = number + 1, [], [], 0
+            nonlocal names, lengths, held, size, number
+            row = [shard, number, size, names, lengths, *pack(np.concatenate(held))]
+            number, names, lengths, held, size = number + 1, [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(row, _SEGMENT)], schema=_SEGMENT)
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
-                    names.append(doc_id)
-                    held.append(np.append(ids, np.uint32(end_id)))
-                    size += len(ids) + 1
+            for first, ids, counts in encoder.batches(batch.column(1)):
+                ends = np.cumsum(counts)
+                ids = np.insert(ids, ends, end_id).astype(np.uint32)  # the end id after each text
+                ends += np.arange(1, len(ends) + 1)
+                done = begin = 0
+                while done < len(ends):  # as many whole texts as close the segment
+                    stop = min(int(np.searchsorted(ends, begin + segment_tokens - size)) + 1, len(ends))
+                    names.extend(batch.column(0).slice(first + done, stop - done).to_pylist())
+                    lengths.extend((counts[done:stop] + 1).tolist())
+                    held.append(ids[begin : ends[stop - 1]])
+                    size, begin, done = size + int(ends[stop - 1]) - begin, int(ends[stop - 1]), stop
                     if size >= segment_tokens:
                         yield close()
         if held:
