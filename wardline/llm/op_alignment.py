@@ -172,7 +172,7 @@ def gallop(needles: np.ndarray, first: np.ndarray, ends: np.ndarray, ends_first:
 def align(pair: TokenizerPair, data: np.ndarray, offsets: np.ndarray) -> Aligned:
     """Align a batch of texts given as bytes, each with its leading space. Texts without bytes or with other bytes in a tokenizer have no tokens."""
     n = len(offsets) - 1
-    starts = cuts(data, offsets) if pair.cuttable else np.unique(offsets[:-1][np.diff(offsets) > 0])
+    starts = cuts(data, offsets) if pair.cuttable else offsets[:-1][np.diff(offsets) > 0]
     codes = pair.book.codes(data, starts)
     text = np.searchsorted(offsets, starts, side="right") - 1
     bad = np.zeros(n, bool)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,10 @@ def spans_cuts(vocabulary: Iterable[str]) -> bool:
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """First bytes of the pieces of each text, in order. Texts without bytes have none."""
-    own = np.unique(offsets[:-1][np.diff(offsets) > 0])
+    heads = np.zeros(len(data), bool)
+    heads[offsets[:-1][np.diff(offsets) > 0]] = True
     if len(data) < 2:
-        return own
+        return np.flatnonzero(heads)
     before, here = data[:-1], data[1:]
     at = np.flatnonzero((_CUT[here] & ~_WHITE[before]) | (_POINT[here] & (_LETTER[before] | (before >= 0x80)))) + 1
     wide = at[data[at - 1] >= 0x80]  # after a character of several bytes: not after Unicode white space; points after Latin letters only
@@ -49,8 +51,9 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     white |= (three == 0xE2) & (two == 0x81) & (one == 0x9F)
     white |= (three == 0xE3) & (two == 0x80) & (one == 0x80)
     good = np.where(_POINT[data[wide]], latin, ~white)
-    narrow = at[data[at - 1] < 0x80]
-    return np.union1d(own, np.concatenate([narrow, wide[good]]))
+    heads[at[data[at - 1] < 0x80]] = True
+    heads[wide[good]] = True
+    return np.flatnonzero(heads)
 
 
 def ragged(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -85,7 +88,7 @@ class Book:
             learned, valid = self.learn(new)
             for k, lists in enumerate(learned):
                 counts = np.fromiter(map(len, lists), np.int64, len(lists))
-                flat = np.fromiter((i for x in lists for i in x), np.int32, int(counts.sum()))
+                flat = np.fromiter(chain.from_iterable(lists), np.int32, int(counts.sum()))
                 self.ids[k] = np.concatenate([self.ids[k], flat])
                 self.ends[k] = np.concatenate([self.ends[k], self.ends[k][-1] + np.cumsum(counts)])
             self.valid = np.concatenate([self.valid, np.array(valid, bool)])
