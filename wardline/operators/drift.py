@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from wardline.functions import status as st
 from wardline.functions.scalar import number
-from wardline.operators.cumulative import exact_quantiles, quantiles_from_hits, rank_hits, running_counts
-from wardline.sources.tables import stored
+from wardline.operators.cells import Profile
+from wardline.operators.cumulative import exact_quantiles, quantiles_from_hits, rank_hits
 
 REFERENCE, CURRENT = "reference", "current"
 
@@ -41,16 +41,10 @@ def melt(df: DataFrame, features: Sequence[str], ids: Sequence[str]) -> DataFram
     return wide.unpivot(list(ids), list(features), "feature", "value")
 
 
-def value_counts(df: DataFrame, features: Sequence[str], batch: str = "batch") -> DataFrame:
-    """(feature, value, n_ref, n_cur): the one row-level shuffle of the drift report, combined map-side."""
-    return (
-        melt(df.where(F.col(batch).isin(REFERENCE, CURRENT)), features, [batch])
-        .groupBy("feature", "value")
-        .agg(
-            F.count_if(F.col(batch) == REFERENCE).alias("n_ref"),
-            F.count_if(F.col(batch) == CURRENT).alias("n_cur"),
-        )
-    )
+def two_batches(df: DataFrame, features: Sequence[str], batch: str, by: Sequence[str] = ()) -> DataFrame:
+    """Long form of the reference and current rows: (by, feature, value, is_ref)."""
+    rows = melt(df.where(F.col(batch).isin(REFERENCE, CURRENT)), features, [batch, *by])
+    return rows.select(*by, "feature", "value", (F.col(batch) == REFERENCE).alias("is_ref"))
 
 
 def probabilities(bins: int) -> list[float]:
@@ -161,22 +155,63 @@ def bin_table(
     batch: str = "batch",
     by: Sequence[Column] = (),
     bins: int = 10,
+    by_columns: Sequence[str] = (),
 ) -> DataFrame:
-    """Rows per bin as arrays ``ref_bins``/``cur_bins`` (slot 0 = missing), per feature and ``by``.
+    """Rows per bin as arrays ``ref_bins``/``cur_bins`` (slot 0 = missing), per feature, ``by`` and ``by_columns``.
 
-    One pass over the rows, combined map-side to a handful of rows per task.
+    One pass over the rows, combined map-side to a handful of rows per task. ``edges`` may hold ``by_columns``: cut points per key.
     """
-    extra = [f"_by{i}" for i in range(len(by))]
-    wide = df.withColumns(dict(zip(extra, by))) if by else df
+    extra = [*by_columns, *[f"_by{i}" for i in range(len(by))]]
+    wide = df.withColumns(dict(zip(extra[len(by_columns) :], by))) if by else df
     rows = melt(wide, features, [batch, *extra])
-    binned = rows.join(F.broadcast(edges.select("feature", "edges")), "feature", "left").withColumn(
-        "_bin", bin_number(F.col("value"), F.col("edges"))
-    )
+    on = [*[c for c in by_columns if c in edges.columns], "feature"]
+    known = edges.select(*on, "edges")
+    known = F.broadcast(known) if on == ["feature"] else known
+    binned = rows.join(known, on, "left").withColumn("_bin", bin_number(F.col("value"), F.col("edges")))
     return _per_bin(
         binned, [*extra, "feature"], bins, (F.col(batch) == REFERENCE).cast("long"), (F.col(batch) == CURRENT).cast("long")
     )
 
 
+def _reference_cuts(profile: Profile, keys: Sequence[str], bins: int, carry: DataFrame | None = None, kept: Sequence[str] = ()) -> DataFrame:
+    """(keys, row_count, edges) from the cells of a profile that was asked for the bins' quantiles."""
+    probs = probabilities(bins)
+    found = profile.leaves.where("low = high").groupBy(*keys).agg(
+        F.any_value("total_ref").alias("row_count"),
+        rank_hits(F.col("low"), F.col("n_ref"), F.col("before_ref") + F.col("n_ref"), F.col("total_ref"), probs).alias("_hits"),
+    )
+    if carry is not None:
+        found = carry.join(found, list(keys), "left")
+    quantiles = found.select(*keys, *kept, "row_count", quantiles_from_hits(F.col("_hits"), F.col("row_count"), probs).alias("quantiles"))
+    return with_inner_edges(quantiles, "quantiles", bins, [*keys, *kept, "row_count"])
+
+
+def binned_counts(
+    df: DataFrame,
+    features: Sequence[str],
+    batch: str = "batch",
+    bins: int = 10,
+    accuracy: int | None = None,
+    edges: DataFrame | None = None,
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """Rows per bin of both batches as arrays (see :func:`bin_table`), per feature and ``by``.
+
+    One pass over the rows counts cells; a second one reads only cells that hold a cut point. Given ``edges``, or
+    cut points from a sketch (``accuracy``), rows are put into bins directly.
+    """
+    keys = [*by, "feature"]
+    if edges is None and accuracy is not None:
+        if by:
+            raise ValueError("sketched cut points are made over all rows; give edges, or leave accuracy out")
+        edges = reference_edges(df, features, batch, bins, accuracy)
+    if edges is not None:
+        return bin_table(df, features, edges, batch, bins=bins, by_columns=by)
+    profile = Profile(two_batches(df, features, batch, by), keys, probabilities(bins), bounded_keys=not by)
+    binned = profile.binned(_reference_cuts(profile, keys, bins).select(*keys, "edges"), bin_number)
+    return _per_bin(binned, keys, bins, F.col("n_ref"), F.col("n_cur"))
+
+
 def psi(
     df: DataFrame,
     features: Sequence[str],
@@ -185,11 +220,10 @@ def psi(
     epsilon: float = 1e-6,
     accuracy: int | None = None,
     edges: DataFrame | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """(feature, psi) without a value-level shuffle: cut points first, then one counting pass."""
-    edges = reference_edges(df, features, batch, bins, accuracy) if edges is None else edges
-    counted = bin_table(df, features, edges, batch, bins=bins)
-    return counted.select("feature", psi_column(epsilon).alias("psi"))
+    """(by, feature, psi); cut points and counts come from the same cells."""
+    return binned_counts(df, features, batch, bins, accuracy, edges, by).select(*by, "feature", psi_column(epsilon).alias("psi"))
 
 
 def bin_proportions(
@@ -199,14 +233,15 @@ def bin_proportions(
     bins: int = 10,
     epsilon: float = 1e-6,
     edges: DataFrame | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """(feature, bin, n and floored proportion per batch), empty bins included; bin -1 is missing."""
-    edges = reference_edges(df, features, batch, bins) if edges is None else edges
-    counted = bin_table(df, features, edges, batch, bins=bins)
+    """(by, feature, bin, n and floored proportion per batch), empty bins included; bin -1 is missing."""
+    counted = binned_counts(df, features, batch, bins, None, edges, by)
     slots = F.posexplode(F.arrays_zip("ref_bins", "cur_bins")).alias("_slot", "_n")
-    long = counted.select("feature", "bin_count", "ref_total", "cur_total", slots)
+    long = counted.select(*by, "feature", "bin_count", "ref_total", "cur_total", slots)
     share = lambda n, t: F.greatest(F.try_divide(F.col(n).cast("double"), t), F.lit(epsilon))
     return long.where((F.col("_slot") - 1) < F.col("bin_count")).select(
+        *by,
         "feature",
         (F.col("_slot") - 1).alias("bin"),
         F.col("_n.ref_bins").alias("reference_count"),
@@ -229,72 +264,50 @@ def ks_pvalue(statistic: Column, n: Column, m: Column) -> Column:
     return F.when(lam < 0.2, F.lit(1.0)).when(lam.isNotNull(), F.least(F.greatest(2.0 * series, F.lit(0.0)), F.lit(1.0)))
 
 
-def _seen_counts(counted: DataFrame) -> DataFrame:
-    """Counts with the missing-value row weighted 0."""
-    seen = F.col("value").isNotNull()
-    return counted.select(
-        "feature", "value", *[F.when(seen, F.col(f"n_{s}")).otherwise(F.lit(0)).alias(f"seen_{s}") for s in ("ref", "cur")]
-    )
-
-
-def _ks_gap() -> Column:
-    ref = F.try_divide(F.col("cum_seen_ref").cast("double"), F.col("total_seen_ref"))
-    cur = F.try_divide(F.col("cum_seen_cur").cast("double"), F.col("total_seen_cur"))
-    return F.max(F.abs(ref - cur))
-
+def ks(df: DataFrame, features: Sequence[str], batch: str = "batch", by: Sequence[str] = ()) -> DataFrame:
+    """(by, feature, ks_statistic, ks_pvalue, reference_count, current_count); ties of a value move together.
 
-def ks(df: DataFrame, features: Sequence[str], batch: str = "batch") -> DataFrame:
-    """(feature, ks_statistic, ks_pvalue, reference_count, current_count); ties of a value move together."""
-    counted = _seen_counts(value_counts(df, features, batch))
-    running = running_counts(counted, ["feature"], "value", ["seen_ref", "seen_cur"])
-    found = running.groupBy("feature").agg(
-        _ks_gap().alias("ks_statistic"),
-        F.any_value("total_seen_ref").alias("reference_count"),
-        F.any_value("total_seen_cur").alias("current_count"),
-    )
+    The statistic is exact: cells are refined until none can hold a larger gap than the one found.
+    """
+    keys = [*by, "feature"]
+    found = Profile(two_batches(df, features, batch, by), keys, gaps=True, bounded_keys=not by).summary()
     return found.select(
-        "feature",
-        "ks_statistic",
-        ks_pvalue(F.col("ks_statistic"), F.col("reference_count"), F.col("current_count")).alias("ks_pvalue"),
-        "reference_count",
-        "current_count",
+        *keys,
+        _statistic().alias("ks_statistic"),
+        ks_pvalue(_statistic(), F.col("ref_rows"), F.col("cur_rows")).alias("ks_pvalue"),
+        F.col("ref_rows").alias("reference_count"),
+        F.col("cur_rows").alias("current_count"),
     )
 
 
+def _statistic() -> Column:
+    return F.when((F.col("ref_rows") > 0) & (F.col("cur_rows") > 0), F.col("largest_gap"))
+
+
 def drift_report(
     df: DataFrame,
     features: Sequence[str],
     score: str | None = "risk_probability",
     batch: str = "batch",
     policy: DriftPolicy = DriftPolicy(),
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per feature (and one for the score): PSI, KS, statuses, means, null rates, counts.
+    """One row per ``by`` key and feature (and one for the score): PSI, KS, statuses, means, null rates, counts.
 
-    Rows are read and shuffled once, as counts per (feature, value), stored by one job. Cut points, KS and means are one aggregate over
-    the running counts; PSI bins are a second aggregate over the same counts.
+    All keys are judged together, each with its own cut points: one pass over the rows counts cells, a second one reads only
+    cells that hold a cut point or may hold the largest gap. Only counts per cell are stored.
     """
-    monitored = [*features, *([score] if score else [])]
-    counted = stored(value_counts(df, monitored, batch), "value-counts")
-    running = running_counts(_seen_counts(counted), ["feature"], "value", ["seen_ref", "seen_cur"], store=False)
-    probs = probabilities(policy.bins)
-    total = F.col("total_seen_ref")
-    stats = running.groupBy("feature").agg(
-        F.any_value("total_seen_ref").alias("ref_rows"),
-        F.any_value("total_seen_cur").alias("cur_rows"),
-        _ks_gap().alias("ks_statistic"),
-        F.try_divide(F.sum(F.col("value") * F.col("seen_ref")), F.sum("seen_ref")).alias("reference_mean"),
-        F.try_divide(F.sum(F.col("value") * F.col("seen_cur")), F.sum("seen_cur")).alias("current_mean"),
-        rank_hits(F.col("value"), F.col("seen_ref"), F.col("cum_seen_ref"), total, probs).alias("_hits"),
-    )
+    keys, monitored = [*by, "feature"], [*features, *([score] if score else [])]
+    profile = Profile(two_batches(df, monitored, batch, by), keys, probabilities(policy.bins), gaps=True, bounded_keys=not by)
     kept = ["ref_rows", "cur_rows", "ks_statistic", "reference_mean", "current_mean"]
-    quantiles = stats.select("feature", *kept, quantiles_from_hits(F.col("_hits"), F.col("ref_rows"), probs).alias("quantiles"))
-    cuts = with_inner_edges(quantiles, "quantiles", policy.bins, ["feature", *kept])
-    binned = counted.join(F.broadcast(cuts), "feature", "left").withColumn(
-        "_bin", bin_number(F.col("value"), F.col("edges"))
+    stats = profile.summary().select(
+        *keys, "ref_rows", "cur_rows", _statistic().alias("ks_statistic"),
+        F.try_divide("ref_sum", "ref_rows").alias("reference_mean"), F.try_divide("cur_sum", "cur_rows").alias("current_mean"),
     )
-    wide = _per_bin(binned, ["feature"], policy.bins, F.col("n_ref"), F.col("n_cur"), kept)
+    cuts = _reference_cuts(profile, keys, policy.bins, stats, kept).drop("row_count")
+    wide = _per_bin(profile.binned(cuts, bin_number, kept), keys, policy.bins, F.col("n_ref"), F.col("n_cur"), kept)
     named = wide.select(
-        "feature",
+        *keys,
         psi_column(policy.epsilon).alias("psi"),
         "ks_statistic",
         ks_pvalue(F.col("ks_statistic"), F.col("ref_rows"), F.col("cur_rows")).alias("ks_pvalue"),
@@ -316,7 +329,7 @@ def drift_report(
     )
     position = F.array_position(F.array(*[F.lit(f) for f in monitored]), F.col("feature"))
     return staged.select(
-        "feature",
+        *keys,
         "psi",
         "psi_status",
         "ks_statistic",
@@ -334,8 +347,8 @@ def drift_report(
     )
 
 
-def overall_status(report: DataFrame) -> DataFrame:
-    """One row: worst status over all rows; feature lists in feature order, the score row left out."""
+def overall_status(report: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row (per key): worst status over all rows; feature lists in feature order, the score row left out."""
 
     def names(status: str) -> Column:
         kept = F.collect_list(
@@ -345,7 +358,7 @@ def overall_status(report: DataFrame) -> DataFrame:
         )
         return F.transform(F.array_sort(kept), lambda s: s["feature"])
 
-    return report.agg(
+    return report.groupBy(*by).agg(
         st.worst_of_group(F.col("status"), st.DRIFT_LEVELS).alias("overall_status"),
         names("CRITICAL").alias("critical_features"),
         names("WARNING").alias("warning_features"),

@@ -456,7 +456,7 @@ def c8_values(spark, d):
       'credit_application_scoring_v1' AS contract_name, '1.0.0' AS contract_version FROM checks""",
 )
 def c9(spark, d):
-    found = ct.report(ct.validate_batch(stored(current(spark, d), "apps"), b.CONTRACT, "apps"), b.CONTRACT)
+    found = ct.report(ct.validate_batch(current(spark, d), b.CONTRACT, "apps"), b.CONTRACT)
     return found.withColumn("failed_rule_ids", F.array_join("failed_rule_ids", ","))
 
 
@@ -543,8 +543,7 @@ def c15(spark, d):
       count(*) FILTER (WHERE rule_id LIKE 'gx.%') = 0 AS expectations_passed, string_agg(rule_id, ',' ORDER BY rule_id) AS failed_rule_ids FROM failed""",
 )
 def c16(spark, d):
-    df = stored(current(spark, d), "apps")  # five passes: two engines, uniqueness, categories
-    found = ct.gate(ct.validate_batch(df, b.CONTRACT, "apps"), ct.expectations(df, b.CONTRACT, "apps"))
+    found = ct.gate(ct.both_engines(current(spark, d), b.CONTRACT, "apps"))
     return found.withColumn("failed_rule_ids", F.array_join("failed_rule_ids", ","))
 
 
