@@ -37,7 +37,7 @@ def test_contract_rules(spark):
     assert [tuple(r) for r in ct.unexpected_values(batch(spark), CONTRACT).collect()] == [("region", "unknown-region", 1)]
     missing = {r["rule_id"]: r for r in ct.validate_batch(batch(spark).drop("age"), CONTRACT).collect()}
     assert not missing["schema.required_columns"]["passed"] and "age.range" not in missing
-    gate = ct.gate(ct.validate_batch(batch(spark), CONTRACT), ct.expectations(batch(spark), CONTRACT)).first()
+    gate = ct.gate(ct.both_engines(batch(spark), CONTRACT)).first()
     assert gate["decision"] == "BLOCK" and "gx.age.expect_column_values_to_be_between" in gate["failed_rule_ids"]
     empty = {r["rule_id"]: r["passed"] for r in ct.validate_batch(batch(spark).limit(0), CONTRACT).collect()}
     assert not empty["table.minimum_rows"] and not empty["age.null_rate"]

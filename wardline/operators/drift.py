@@ -75,8 +75,8 @@ def with_inner_edges(df: DataFrame, quantiles: str, bins: int, keep: Sequence[st
 
 
 def bin_number(value: Column, edges: Column) -> Column:
-    """Left-closed bin from 0; a missing value goes to bin -1."""
-    return F.when(value.isNull(), F.lit(-1)).otherwise(F.size(F.filter(edges, lambda e: e <= value)))
+    """Left-closed bin from 0; a missing value goes to bin -1; without cut points (no reference value) all is bin 0."""
+    return F.when(value.isNull(), F.lit(-1)).otherwise(F.coalesce(F.size(F.filter(edges, lambda e: e <= value)), F.lit(0)))
 
 
 def reference_edges(

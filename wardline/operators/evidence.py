@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wardline.operators import contract, drift, fairness, metrics
+from wardline.operators.contract import Contract
 from wardline.sources.tables import stored
 
 # Legal stage moves, audit event names.
@@ -84,12 +86,71 @@ def _status_ok(c: str, blocked: Sequence[str]) -> Column:
     return ~F.array_contains(F.array(*[F.lit(b) for b in blocked]), F.col(c)) if blocked else F.lit(True)
 
 
-def gates(evidence: DataFrame, policy: PromotionPolicy = PromotionPolicy(), keys: Sequence[str] = ("model_version",)) -> DataFrame:
-    """Six gate rows per evidence row.
+#: The evidence columns that each gate reads.
+GATE_PARTS = {
+    "data_quality": "quality", "performance": "performance", "calibration": "performance", "drift": "drift", "fairness": "fairness",
+    "evidence_integrity": "artifacts",
+}
+
+
+@dataclass(frozen=True)
+class Candidates:
+    """Scored rows of every candidate (``keys``) with a ``batch`` column, and what they are judged by.
+
+    ``evidence`` judges all keys together: contract and both rule engines on the current batch, metrics of the current
+    batch, drift with cut points per key, fairness per key. Only the parts asked for are made.
+    """
+
+    rows: DataFrame
+    contract: Contract
+    features: tuple[str, ...]
+    sensitive: tuple[str, ...]
+    keys: tuple[str, ...] = ("model_version",)
+    minimum_group_size: int = 30
+    artifacts: DataFrame | None = None
+    drift_policy: drift.DriftPolicy = drift.DriftPolicy()
+    label: str = "default_30d"
+    score: str = "risk_probability"
+
+    def part(self, name: str) -> DataFrame:
+        by, current = list(self.keys), self.rows.where(F.col("batch") == drift.CURRENT)
+        if name == "quality":
+            judged = contract.gate(contract.both_engines(current, self.contract, by=by), by)
+            return judged.select(*by, F.col("decision").alias("quality_decision"))
+        if name == "performance":
+            found = metrics.classification_metrics(current, by, self.label, self.score)
+            return found.select(*by, "roc_auc", "pr_auc", "brier_score")
+        if name == "drift":
+            report = drift.drift_report(self.rows, self.features, self.score, policy=self.drift_policy, by=by)
+            return drift.overall_status(report, by).select(
+                *by, F.col("overall_status").alias("drift_status"), "critical_features", "warning_features"
+            )
+        if name == "fairness":
+            counts = fairness.group_counts(current, self.sensitive, label=self.label, score=self.score, by=by)
+            judged = fairness.expanded_assess(fairness.expanded_group_metrics(counts, self.minimum_group_size, by=by), by=by)
+            return fairness.overall_status(judged, self.sensitive, by=by).withColumnRenamed("overall_status", "fairness_status")
+        if self.artifacts is None:
+            raise ValueError("no artifacts given")
+        return artifact_counts(self.artifacts, *by)
+
+    def evidence(self, parts: Sequence[str] = ("quality", "performance", "drift", "fairness", "artifacts")) -> DataFrame:
+        """One row per key that occurs in any part; a part without rows for a key leaves its columns NULL."""
+        out = self.part(parts[0])
+        for name in parts[1:]:
+            out = out.join(self.part(name), list(self.keys), "full")
+        return out
+
+
+def gates(
+    evidence: DataFrame, policy: PromotionPolicy = PromotionPolicy(), keys: Sequence[str] = ("model_version",), only: Sequence[str] | None = None
+) -> DataFrame:
+    """Six gate rows per evidence row, or those named in ``only``.
 
     ``evidence`` has quality_decision, roc_auc, pr_auc, brier_score, drift_status, fairness_status,
-    total_artifacts and valid_artifacts. Absent evidence fails its gate.
+    total_artifacts and valid_artifacts, or the columns of the gates asked for. Absent evidence fails its gate.
     """
+    for name in {"quality_decision", "roc_auc", "pr_auc", "brier_score", "drift_status", "fairness_status", "total_artifacts", "valid_artifacts"}.difference(evidence.columns):
+        evidence = evidence.withColumn(name, F.lit(None))
     c, p = F.col, policy
     num = lambda x: F.coalesce(x.cast("string"), F.lit("null"))
 
@@ -122,6 +183,7 @@ def gates(evidence: DataFrame, policy: PromotionPolicy = PromotionPolicy(), keys
             F.lit(expected).alias("expected"),
         )
         for i, (name, passed, observed, expected) in enumerate(specs)
+        if only is None or name in only
     ]
     return evidence.select(*keys, F.inline(F.array(*rows)))
 

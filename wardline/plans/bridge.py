@@ -143,29 +143,43 @@ def scored(df: DataFrame) -> DataFrame:
     return df.withColumn("risk_probability", score_points(F.col("device_risk_score")).cast("double") / 10000.0)
 
 
+_DRIFTED = {
+    "device_risk_score": dict(center=0.5, scale=0.85, shift=0.06, lo=0.0, hi=1.0),
+    "credit_utilization": dict(shift=0.05, lo=0.01, hi=0.99),
+    "debt_to_income": dict(shift=0.035, lo=0.02, hi=0.90),
+    "bank_transaction_risk": dict(shift=0.06, lo=0.0, hi=1.0),
+}
+_STRESSED = {
+    "device_risk_score": dict(shift=0.12, lo=0.0, hi=1.0),
+    "credit_utilization": dict(shift=0.06, lo=0.01, hi=0.99),
+    "bank_transaction_risk": dict(shift=0.05, lo=0.0, hi=1.0),
+}
+
+
+def moved(df: DataFrame, *cases: tuple[Column, dict[str, dict]]) -> DataFrame:
+    """Features moved in the rows of the first condition that holds, then scored again; other rows untouched."""
+    changed: dict[str, Column] = {}
+    for name in dict.fromkeys(c for _, moves in cases for c in moves):
+        value = F
+        for cond, moves in cases:
+            if name in moves:
+                value = value.when(cond, affine_shift(name, **moves[name]))
+        changed[name] = value.otherwise(F.col(name))
+    return scored(df.withColumns(changed))
+
+
+def _stressed_group() -> Column:
+    return (F.col("batch") == "current") & (F.col(INTERSECTION) == "female|BUILDING")
+
+
 def drifted(df: DataFrame) -> DataFrame:
     """The current batch with four features moved, then scored again; the reference untouched."""
-    moves = {
-        "device_risk_score": dict(center=0.5, scale=0.85, shift=0.06, lo=0.0, hi=1.0),
-        "credit_utilization": dict(shift=0.05, lo=0.01, hi=0.99),
-        "debt_to_income": dict(shift=0.035, lo=0.02, hi=0.90),
-        "bank_transaction_risk": dict(shift=0.06, lo=0.0, hi=1.0),
-    }
-    current = F.col("batch") == "current"
-    return scored(
-        df.withColumns({c: F.when(current, affine_shift(c, **m)).otherwise(F.col(c)) for c, m in moves.items()})
-    )
+    return moved(df, (F.col("batch") == "current", _DRIFTED))
 
 
 def stressed(df: DataFrame) -> DataFrame:
     """The current batch with three features moved for one intersection only, then scored again."""
-    hit = (F.col("batch") == "current") & (F.col(INTERSECTION) == "female|BUILDING")
-    moves = {
-        "device_risk_score": dict(shift=0.12, lo=0.0, hi=1.0),
-        "credit_utilization": dict(shift=0.06, lo=0.01, hi=0.99),
-        "bank_transaction_risk": dict(shift=0.05, lo=0.0, hi=1.0),
-    }
-    return scored(df.withColumns({c: F.when(hit, affine_shift(c, **m)).otherwise(F.col(c)) for c, m in moves.items()}))
+    return moved(df, (_stressed_group(), _STRESSED))
 
 
 _SCORE_SQL = """
@@ -216,32 +230,66 @@ def _when_current(col: str, expr: str, lo: float, hi: float, cond: str) -> str:
     return f"CASE WHEN {cond} THEN {_clip_sql(expr, lo, hi)} ELSE {col} END AS {col}"
 
 
-def moved_sql(name: str, cond: str, moves: dict[str, tuple[str, float, float]]) -> str:
+def moved_sql(name: str, cond: str, moves: dict[str, tuple[str, float, float]], source: str = "apps") -> str:
     cols = ", ".join(_when_current(c, e, lo, hi, cond) for c, (e, lo, hi) in moves.items())
     return f"""
-{name}0 AS (SELECT * REPLACE ({cols}) FROM apps),
+{name}0 AS (SELECT * REPLACE ({cols}) FROM {source}),
 {name} AS (SELECT * REPLACE ({_SCORE_SQL.format(dev="device_risk_score")} AS risk_probability) FROM {name}0)"""
 
 
-DRIFTED_SQL = APPS_SQL + "," + moved_sql(
-    "drifted",
-    "batch = 'current'",
-    {
-        "device_risk_score": ("(0.5::DOUBLE + 0.85::DOUBLE * (device_risk_score - 0.5::DOUBLE) + 0.06::DOUBLE)", 0.0, 1.0),
-        "credit_utilization": ("(credit_utilization + 0.05::DOUBLE)", 0.01, 0.99),
-        "debt_to_income": ("(debt_to_income + 0.035::DOUBLE)", 0.02, 0.90),
-        "bank_transaction_risk": ("(bank_transaction_risk + 0.06::DOUBLE)", 0.0, 1.0),
-    },
+_DRIFT_MOVES = {
+    "device_risk_score": ("(0.5::DOUBLE + 0.85::DOUBLE * (device_risk_score - 0.5::DOUBLE) + 0.06::DOUBLE)", 0.0, 1.0),
+    "credit_utilization": ("(credit_utilization + 0.05::DOUBLE)", 0.01, 0.99),
+    "debt_to_income": ("(debt_to_income + 0.035::DOUBLE)", 0.02, 0.90),
+    "bank_transaction_risk": ("(bank_transaction_risk + 0.06::DOUBLE)", 0.0, 1.0),
+}
+_STRESS_MOVES = {
+    "device_risk_score": ("(device_risk_score + 0.12::DOUBLE)", 0.0, 1.0),
+    "credit_utilization": ("(credit_utilization + 0.06::DOUBLE)", 0.01, 0.99),
+    "bank_transaction_risk": ("(bank_transaction_risk + 0.05::DOUBLE)", 0.0, 1.0),
+}
+_STRESSED_GROUP = f"batch = 'current' AND {INTERSECTION} = 'female|BUILDING'"
+DRIFTED_SQL = APPS_SQL + "," + moved_sql("drifted", "batch = 'current'", _DRIFT_MOVES)
+STRESSED_SQL = APPS_SQL + "," + moved_sql("stressed", _STRESSED_GROUP, _STRESS_MOVES)
+
+# Candidates: one model version per order priority; every fifth applicant (by age) is scored by the candidate. One version's
+# vendor moved for everybody, one's for a single group.
+DRIFTED_VERSION, STRESSED_VERSION = "1-URGENT", "2-HIGH"
+
+
+def _split(df: DataFrame) -> DataFrame:
+    return df.withColumn("batch", F.when(F.col("age") % 5 == 0, "current").otherwise("reference"))
+
+
+def candidates(df: DataFrame) -> DataFrame:
+    version = F.col("employment_type")
+    rows = _split(df)
+    drift = (F.col("batch") == "current") & (version == DRIFTED_VERSION)
+    return moved(rows, (drift, _DRIFTED), (_stressed_group() & (version == STRESSED_VERSION), _STRESSED)).withColumn("model_version", version)
+
+
+CANDIDATES_SQL = (
+    APPS_SQL + ", split AS (SELECT * REPLACE (CASE WHEN age % 5 = 0 THEN 'current' ELSE 'reference' END AS batch) FROM apps),"
+    + moved_sql("moved1", f"batch = 'current' AND employment_type = '{DRIFTED_VERSION}'", _DRIFT_MOVES, "split") + ","
+    + moved_sql("moved2", f"{_STRESSED_GROUP} AND employment_type = '{STRESSED_VERSION}'", _STRESS_MOVES, "moved1")
+    + ", keyed AS (SELECT *, employment_type AS model_version FROM moved2)"
 )
 
-STRESSED_SQL = APPS_SQL + "," + moved_sql(
-    "stressed",
-    f"batch = 'current' AND {INTERSECTION} = 'female|BUILDING'",
-    {
-        "device_risk_score": ("(device_risk_score + 0.12::DOUBLE)", 0.0, 1.0),
-        "credit_utilization": ("(credit_utilization + 0.06::DOUBLE)", 0.01, 0.99),
-        "bank_transaction_risk": ("(bank_transaction_risk + 0.05::DOUBLE)", 0.0, 1.0),
-    },
+# Scenarios over the same applications: untouched, moved for everybody, moved for a single group.
+SCENARIOS = ("healthy", "drifted", "stressed")
+
+
+def scenarios(df: DataFrame) -> DataFrame:
+    rows = _split(df).withColumn("scenario", F.explode(F.lit(list(SCENARIOS))))
+    drift = (F.col("batch") == "current") & (F.col("scenario") == "drifted")
+    return moved(rows, (drift, _DRIFTED), (_stressed_group() & (F.col("scenario") == "stressed"), _STRESSED))
+
+
+SCENARIOS_SQL = (
+    APPS_SQL + f", split AS (SELECT * REPLACE (CASE WHEN age % 5 = 0 THEN 'current' ELSE 'reference' END AS batch), unnest({list(SCENARIOS)}) AS scenario FROM apps),"
+    + moved_sql("moved1", "batch = 'current' AND scenario = 'drifted'", _DRIFT_MOVES, "split") + ","
+    + moved_sql("moved2", f"{_STRESSED_GROUP} AND scenario = 'stressed'", _STRESS_MOVES, "moved1")
+    + ", keyed AS (SELECT * FROM moved2)"
 )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from wardline.functions import status as st
@@ -21,15 +23,52 @@ from wardline.sources.tables import stored
 # One evidence row per model version; versions are the order priorities.
 
 POLICY = ev.PromotionPolicy(minimum_roc_auc=0.49, minimum_pr_auc=0.31, maximum_brier_score=0.28, minimum_artifacts=5)
-_EV = f"""WITH {b.DRIFTED_SQL}, keyed AS (SELECT *, employment_type AS model_version FROM drifted), {auc_sql('keyed', 'model_version')}, {FLAT.format(by='model_version', rows='keyed')},
- q AS (SELECT model_version, CASE WHEN avg((device_risk_score IS NULL)::INT) <= 0.0175 THEN 'PASS' ELSE 'BLOCK' END AS quality_decision,
-   abs(avg(risk_probability) FILTER (WHERE batch = 'current') - avg(risk_probability) FILTER (WHERE batch = 'reference')) * 4.7 AS move FROM keyed GROUP BY 1),
- fs AS (SELECT model_version, min(r) / max(r) AS ratio FROM (SELECT model_version, age_group, avg((risk_probability < 0.5)::INT) AS r FROM keyed GROUP BY 1, 2) GROUP BY 1),
+#: What a candidate's batch must look like: the application contract with the tables' own ranges.
+_LIMITS = {"annual_income": (0, 1_000_000), "delinquencies_2y": (0, 7), "inquiries_6m": (0, 50), "credit_utilization": (0, 1), "credit_history_years": (0, 45)}
+PROMOTION_CONTRACT = dataclasses.replace(
+    b.CONTRACT, minimum_rows=5,
+    columns=tuple(
+        dataclasses.replace(
+            r, **({"min": _LIMITS[r.name][0], "max": _LIMITS[r.name][1]} if r.name in _LIMITS else {}),
+            **({"allowed_values": ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")} if r.name == "region" else {}),
+        )
+        for r in b.CONTRACT.columns
+    ),
+)
+GOVERNED, GROUP_SIZE = ("synthetic_demographic_group", "sex"), 100
+
+
+def quality_sql(rows: str, key: str, contract=PROMOTION_CONTRACT) -> str:
+    """Whether every rule of both engines holds, per key."""
+    ok = [f"count(*) >= {contract.minimum_rows}"]
+    for r in contract.columns:
+        if r.max_null_rate is not None:
+            ok += [f"avg(({r.name} IS NULL)::INT) <= {r.max_null_rate}::DOUBLE + 1e-12", f"count({r.name})::DOUBLE / count(*) >= 1.0 - {r.max_null_rate}::DOUBLE"]
+        if r.unique:
+            ok.append(f"count(DISTINCT {r.name}) = count({r.name}) AND count(*) - count({r.name}) < 2")
+        if r.has_range:
+            ok.append(f"count(*) FILTER (WHERE {r.name} < {float(r.min)}::DOUBLE OR {r.name} > {float(r.max)}::DOUBLE) = 0")
+        if r.allowed_values:
+            ok.append(f"count(*) FILTER (WHERE {r.name} NOT IN ({', '.join(repr(v) for v in r.allowed_values)})) = 0")
+    return f"SELECT {key}, CASE WHEN {' AND '.join(ok)} THEN 'PASS' ELSE 'BLOCK' END AS quality_decision FROM {rows} GROUP BY 1"
+
+
+def evidence_sql(key: str, sensitive, group_size: int) -> str:
+    """CTEs from ``keyed``: q, auc, flat, drift, fs by key. Cut points are per key: the key is put before the feature's name."""
+    long = " UNION ALL ".join(f"SELECT {key} || '~{c}' AS feature, batch, {c}::DOUBLE AS value FROM keyed" for c in drifts.FEATURES)
+    report = drifts._REPORT_CTE.split(drifts._BASE, 1)[1].lstrip(",")
+    groups = " UNION ALL ".join(f"SELECT {key} AS batch, '{c}' AS sensitive_feature, coalesce({c}, 'nan') AS grp, risk_probability AS p, default_30d AS y FROM now" for c in sensitive)
+    fair_sql = fair._F12.split("f8 AS (", 1)[1].replace(f">= {fair.MIN} ", f">= {group_size} ").replace("FROM long", "FROM people")
+    return f"""now AS (SELECT * FROM keyed WHERE batch = 'current'), q AS ({quality_sql('now', key)}), {auc_sql('now', key)}, {FLAT.format(by=key, rows='now')},
+ long AS ({long}), {report}, drift AS (SELECT split_part(feature, '~', 1) AS {key}, CASE WHEN bool_or(status = 'CRITICAL') THEN 'CRITICAL' WHEN bool_or(status = 'WARNING') THEN 'WARNING' ELSE 'STABLE' END AS drift_status FROM rep GROUP BY 1),
+ people AS ({groups}), f8 AS ({fair_sql}, fs AS (SELECT batch AS {key}, CASE max(CASE status WHEN 'FAIL' THEN 2 WHEN 'WARNING' THEN 1 ELSE 0 END) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'WARNING' ELSE 'PASS' END AS fairness_status FROM f12 GROUP BY 1)"""
+
+
+_EV = f"""WITH {b.CANDIDATES_SQL}, {evidence_sql('model_version', GOVERNED, GROUP_SIZE)},
  art AS (SELECT model_version, region, CASE WHEN model_version = '2-HIGH' AND region = 'ASIA' THEN '' ELSE sha256(model_version || region) END AS sha256, count(*) AS size_bytes FROM keyed GROUP BY 1, 2),
  ac AS (SELECT model_version, count(*) AS total_artifacts, count(*) FILTER (WHERE length(sha256) > 0 AND size_bytes > 0) AS valid_artifacts FROM art GROUP BY 1),
- ev AS (SELECT q.model_version, quality_decision, roc_auc, pr_auc, brier_score, CASE WHEN move >= 0.2 THEN 'CRITICAL' WHEN move >= 0.1 THEN 'WARNING' ELSE 'STABLE' END AS drift_status,
-   CASE WHEN ratio < 0.8 THEN 'FAIL' WHEN ratio < 0.9 THEN 'WARNING' ELSE 'PASS' END AS fairness_status, total_artifacts, valid_artifacts
-   FROM q JOIN fs USING (model_version) JOIN ac USING (model_version) JOIN auc ON auc.k = q.model_version JOIN flat ON flat.k = q.model_version)"""
+ ev AS (SELECT q.model_version, quality_decision, roc_auc, pr_auc, brier_score, drift_status, fairness_status, total_artifacts, valid_artifacts
+   FROM q JOIN fs USING (model_version) JOIN ac USING (model_version) JOIN drift USING (model_version) JOIN auc ON auc.k = q.model_version JOIN flat ON flat.k = q.model_version)"""
 _GATES = _EV + """, g AS (
  SELECT model_version, 0 AS gate_position, 'data_quality' AS name, quality_decision = 'PASS' AS passed, 'PASS' AS expected FROM ev
  UNION ALL SELECT model_version, 1, 'performance', roc_auc >= 0.49 AND pr_auc >= 0.31, 'roc_auc>=0.49,pr_auc>=0.31' FROM ev
@@ -48,28 +87,19 @@ def artifacts(rows):
     return rows.groupBy("model_version", "region").agg(F.count(F.lit(1)).alias("size_bytes")).withColumn("sha256", sha)
 
 
-def evidence(spark, d):
-    rows = stored(b.drifted(b.apps(spark, d)), "moved").withColumn("model_version", F.col("employment_type"))
-    p = F.col("risk_probability")
-    side = lambda n: F.avg(F.when(F.col("batch") == n, p))
-    rate = F.avg(F.col("device_risk_score").isNull().cast("double"))
-    base = rows.groupBy("model_version").agg(
-        F.when(rate <= 0.0175, "PASS").otherwise("BLOCK").alias("quality_decision"),
-        st.psi_status(F.abs(side("current") - side("reference")) * 4.7).alias("drift_status"),
-    )
-    per_age = rows.groupBy("model_version", "age_group").agg(F.avg((p < 0.5).cast("double")).alias("r"))
-    ratio = per_age.groupBy("model_version").agg(st.ratio_status(F.min("r") / F.max("r")).alias("fairness_status"))
-    perf = metrics.classification_metrics(rows, ["model_version"]).select("model_version", "roc_auc", "pr_auc", "brier_score")
-    return base.join(ratio, "model_version").join(perf, "model_version").join(ev.artifact_counts(artifacts(rows)), "model_version")
+def candidates(spark, d):
+    rows = b.candidates(b.apps(spark, d))
+    return ev.Candidates(rows, PROMOTION_CONTRACT, tuple(b.MONITORED), GOVERNED, minimum_group_size=GROUP_SIZE, artifacts=artifacts(rows))
 
 
 def gates(spark, d):
-    return ev.gates(evidence(spark, d), POLICY)
+    return ev.gates(candidates(spark, d).evidence(), POLICY)
 
 
 def _gate(name):
     def run(spark, d):
-        return gates(spark, d).where(F.col("name") == name).select("model_version", "name", "status", "passed", "blocking", "reason")
+        found = ev.gates(candidates(spark, d).part(ev.GATE_PARTS[name]), POLICY, only=(name,))
+        return found.select("model_version", "name", "status", "passed", "blocking", "reason")
 
     return run
 
@@ -165,35 +195,17 @@ def j15(spark, d):
     return ev.event_counts(decision_events(spark, d), minimum=5)
 
 
-_ALL = f"WITH {b.DRIFTED_SQL}, a1 AS (SELECT *, 1 AS one FROM drifted WHERE batch = 'current'), {auc_sql('a1', 'one')}, {FLAT.format(by='one', rows='a1')} SELECT roc_auc, pr_auc, brier_score FROM auc JOIN flat USING (k)"
-
-
 @query(
     "j16_scenario_evidence",
-    "SELECT 'moved' AS scenario, 'BLOCK' AS quality_decision, p.roc_auc, p.pr_auc, p.brier_score, dr.overall_status AS drift_status, fa.overall_status AS fairness_status FROM (" + _ALL + ") p, ("
-    + drifts._REPORT_CTE + " SELECT CASE WHEN bool_or(status = 'CRITICAL') THEN 'CRITICAL' WHEN bool_or(status = 'WARNING') THEN 'WARNING' ELSE 'STABLE' END AS overall_status FROM rep) dr, ("
-    + fair._F5.replace(b.STRESSED_SQL, b.DRIFTED_SQL).replace("FROM stressed", "FROM drifted") + f" SELECT CASE max(CASE status WHEN 'FAIL' THEN 2 WHEN 'WARNING' THEN 1 ELSE 0 END) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'WARNING' ELSE 'PASS' END AS overall_status FROM f5 WHERE batch = 'current' AND sensitive_feature = '{b.INTERSECTION}') fa",
+    f"WITH {b.SCENARIOS_SQL}, {evidence_sql('scenario', [b.INTERSECTION], GROUP_SIZE)} SELECT q.scenario, quality_decision, roc_auc, pr_auc, brier_score, drift_status, fairness_status"
+    " FROM q JOIN fs USING (scenario) JOIN drift USING (scenario) JOIN auc ON auc.k = q.scenario JOIN flat ON flat.k = q.scenario",
     ["roc_auc", "pr_auc", "brier_score"],
 )
 def j16(spark, d):
-    rows = stored(b.drifted(b.apps(spark, d)), "moved")
-    now = rows.where("batch = 'current'")
-    scope = F.lit("moved").alias("scenario")
-    gate = ct.gate(ct.validate_batch(now, b.CONTRACT, "moved"), ct.expectations(now, b.CONTRACT, "moved"))
-    perf = metrics.classification_metrics(now)
-    shift = drift.overall_status(drift.drift_report(rows, b.MONITORED))
-    fairness_rows = fairness.assess(fairness.group_metrics(fairness.group_counts(rows, [b.INTERSECTION])))
-    judged = fairness.overall_status(fairness_rows, [b.INTERSECTION])
-    parts = [
-        gate.select(scope, F.col("decision").alias("quality_decision")),
-        perf.select(scope, "roc_auc", "pr_auc", "brier_score"),
-        shift.select(scope, F.col("overall_status").alias("drift_status")),
-        judged.select(scope, F.col("overall_status").alias("fairness_status")),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(part, "scenario")
-    return out
+    """Three scenarios over the same applications, judged together."""
+    rows = b.scenarios(b.apps(spark, d))
+    found = ev.Candidates(rows, PROMOTION_CONTRACT, tuple(b.MONITORED), (b.INTERSECTION,), ("scenario",), GROUP_SIZE)
+    return found.evidence(("quality", "performance", "drift", "fairness")).drop("critical_features", "warning_features")
 
 
 # ------------------------------------------------------------------ K
