@@ -54,7 +54,8 @@ def cramers_v(
 ) -> DataFrame:
     """(batch, feature, association), no continuity or bias correction; 0 if a side has one level.
 
-    chi2 = n (sum o^2/(r c) - 1), which also accounts for cells without rows.
+    chi2 = n (sum o^2/(r c) - 1), which also accounts for cells without rows. Rows are counted once per (group, level);
+    the sums per group and per level are grouped sums over those counts, joined back: no window holds a group or a level.
     """
     wide = df.select(batch, group_label(group).alias("_group"), *[group_label(c).alias(c) for c in features])
     cells = (
@@ -62,21 +63,15 @@ def cramers_v(
         .groupBy(batch, "feature", "_group", "level")
         .agg(F.count(F.lit(1)).alias("_o"))
     )
-    row = Window.partitionBy(batch, "feature", "_group")
-    sized = cells.withColumn("_r", F.sum("_o").over(row)).where(F.col("_r") >= minimum_group_size)
-    col = Window.partitionBy(batch, "feature", "level")
-    marked = sized.withColumns(
-        {
-            "_c": F.sum("_o").over(col),
-            "_first_of_row": (F.row_number().over(row.orderBy("level")) == 1).cast("long"),
-            "_first_of_col": (F.row_number().over(col.orderBy("_group")) == 1).cast("long"),
-        }
-    )
+    by_group, by_level, whole = [batch, "feature", "_group"], [batch, "feature", "level"], [batch, "feature"]
+    rows = cells.groupBy(*by_group).agg(F.sum("_o").alias("_r")).where(F.col("_r") >= minimum_group_size)
+    sized = cells.join(rows, by_group)
+    columns = sized.groupBy(*by_level).agg(F.sum("_o").alias("_c"))
     o = F.col("_o").cast("double")
-    found = marked.groupBy(batch, "feature").agg(
-        F.sum(o * o / (F.col("_r").cast("double") * F.col("_c"))).alias("_s"),
-        F.sum("_first_of_row").alias("_rows"),
-        F.sum("_first_of_col").alias("_cols"),
+    sums = sized.join(columns, by_level).groupBy(*whole).agg(F.sum(o * o / (F.col("_r").cast("double") * F.col("_c"))).alias("_s"))
+    found = (
+        sums.join(rows.groupBy(*whole).agg(F.count(F.lit(1)).alias("_rows")), whole)
+        .join(columns.groupBy(*whole).agg(F.count(F.lit(1)).alias("_cols")), whole)
     )
     side = F.least("_rows", "_cols") - 1
     v = F.sqrt(F.greatest(F.col("_s") - 1.0, F.lit(0.0)) / F.when(side > 0, side))

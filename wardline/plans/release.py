@@ -421,10 +421,16 @@ def m1(spark, d):
     return incidents.timeline_checks(rows, event_id="id2", block=F.floor(F.col("seq") / 100_000_000_000))
 
 
-@query("m2_required_types", f"WITH {_INC} SELECT incident_id, array_to_string(list_sort(list_filter(['ALERT_CREATED', 'ROOT_CAUSE_COMPLETED', 'TRIAGE_STARTED'], lambda x: NOT list_contains(list(event_type), x))), ',') AS missing, false AS complete FROM inc WHERE event_id % 3 = 0 GROUP BY 1")
+_REQUIRED = ["ALERT_CREATED", "ROOT_CAUSE_COMPLETED", "TRIAGE_STARTED"]
+
+
+@query(
+    "m2_required_types",
+    f"WITH {_INC}, seen AS (SELECT incident_id, list_sort(list_filter({_REQUIRED}, lambda x: NOT list_contains(list(event_type), x))) AS gone FROM inc GROUP BY 1)"
+    " SELECT incident_id, array_to_string(gone, ',') AS missing, len(gone) = 0 AS complete FROM seen",
+)
 def m2(spark, d):
-    rows = timeline(spark, d).where("event_id % 3 = 0")
-    found = incidents.missing_types(rows, ["ALERT_CREATED", "TRIAGE_STARTED", "ROOT_CAUSE_COMPLETED"])
+    found = incidents.missing_types(timeline(spark, d), _REQUIRED)
     return found.withColumn("missing", F.array_join("missing", ","))
 
 
