@@ -58,7 +58,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.book = Book(self._learn)
+        self.book = Book(self._learn, scale=2)
 
     @classmethod
     def of(cls, path: str) -> "Encoder":

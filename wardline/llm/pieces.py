@@ -63,10 +63,11 @@ def ragged(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Book:
-    """Tokens of the distinct pieces met so far. ``learn`` gives, for new pieces, one id array per piece and tokenizer and whether they are valid."""
+    """Tokens of the distinct pieces met so far. ``learn`` gives, for new pieces, one id array per piece and tokenizer and whether they are valid;
+    ``scale`` multiplies what is remembered."""
 
-    def __init__(self, learn: Callable[[list[bytes]], tuple[list[list], list[bool]]], tokenizers: int = 1):
-        self.learn, self.n = learn, tokenizers
+    def __init__(self, learn: Callable[[list[bytes]], tuple[list[list], list[bool]]], tokenizers: int = 1, scale: int = 1):
+        self.learn, self.n, self.scale = learn, tokenizers, scale
         self.clear()
 
     def clear(self) -> None:
@@ -77,7 +78,7 @@ class Book:
 
     def codes(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The place in this book of each piece; ``starts`` are the pieces' first bytes, the first one 0."""
-        if len(self.places) > CACHED_PIECES or max(len(x) for x in self.ids) > CACHED_IDS:
+        if len(self.places) > CACHED_PIECES * self.scale or max(len(x) for x in self.ids) > CACHED_IDS * self.scale:
             self.clear()
         offsets = np.append(starts, len(data)).astype(np.int64)
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
