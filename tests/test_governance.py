@@ -78,7 +78,7 @@ def test_fairness_literals(spark):
     assert fair.expanded_assess(fair.expanded_group_metrics(counts, 2)).first()["status"] == "FAIL"
     unsupported = fair.expanded_assess(fair.expanded_group_metrics(counts, 3))
     assert unsupported.first()["status"] == "UNSUPPORTED"
-    with pytest.raises(Exception, match="two supported groups"):
+    with pytest.raises(Exception, match="eligible_groups = 1|eligible_groups = 0"):
         fair.require_support(unsupported).collect()
     with pytest.raises(ValueError):
         s.intersection_key(df, ["absent"], "x")
@@ -97,9 +97,9 @@ def test_impact(spark):
     assert (row["newly_approved_count"], row["newly_rejected_count"], row["decision_flip_count"]) == (1, 0, 1)
     assert row["approval_rate_change"] == pytest.approx(0.25) and row["approved_default_rate_change"] == pytest.approx(1 / 6)
     assert row["newly_approved_default_rate"] == 1.0
-    with pytest.raises(Exception, match="same population"):
+    with pytest.raises(Exception, match="one_sided = 2"):
         impact.compare(before, versions(spark, [0.1, 0.3, 0.4, 0.7], ids="ABCX")).collect()
-    with pytest.raises(Exception, match="same labels"):
+    with pytest.raises(Exception, match="changed_labels = 1"):
         impact.compare(before, versions(spark, [0.1, 0.3, 0.4, 0.7], labels=(1, 1, 1, 1))).collect()
     check = impact.population_check(before, before.unionByName(before.limit(1))).first()
     assert check["repeated_keys"] == 1 and not check["same_population"]
@@ -112,7 +112,7 @@ def test_factorial_and_group_shift(spark):
     df = spark.createDataFrame([("a", 0.4), ("c", 0.4), ("c", None)], "g string, x double")
     moved = [r["x"] for r in whatif.shift(df, [whatif.Shift("x", 0.12)], where=F.col("g") == "c").collect()]
     assert moved[0] == 0.4 and moved[1] == pytest.approx(0.52) and moved[2] is None
-    with pytest.raises(Exception, match="absent"):
+    with pytest.raises(Exception, match="0 rows match"):
         whatif.require_group(df, F.col("g") == "z").collect()
 
 

@@ -55,7 +55,7 @@ def shift(df: DataFrame, shifts: Sequence[Shift], key: str | None = None, seed:
 def require_group(df: DataFrame, where: Column) -> DataFrame:
     """One row; fails the query when no row matches the stressed group."""
     n = F.count_if(where)
-    return df.agg(F.when(n > 0, n).otherwise(F.raise_error(F.lit("Stressed group is absent.")).cast("long")).alias("group_rows"))
+    return df.agg(F.when(n > 0, n).otherwise(F.raise_error(F.lit("0 rows match the condition")).cast("long")).alias("group_rows"))
 
 
 def missing_weight(x: Column) -> Column:
