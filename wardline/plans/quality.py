@@ -12,7 +12,6 @@ from wardline.operators import attribution, contract as ct, drift, metrics, what
 from wardline.plans import bridge as b
 from wardline.plans.registry import query
 from wardline.sources import files
-from wardline.sources.tables import stored
 
 APPS = f"WITH {b.APPS_SQL} "
 DRIFTED = f"WITH {b.DRIFTED_SQL} "
