@@ -5,9 +5,10 @@ two sets can be compared fragment by fragment: their overlap is the sum of the p
 
 1. *Candidates.* Two sets that link differ in at most d n-grams, and d follows from their sizes. Cut into f > d fragments, they
    must agree in f - d fragments as a whole. So each set is posted under the digest of what it has in every f - d fragments: one
-   of d + 1 for long texts, most of a set for short ones. Sizes are dealt to classes, and a set near the top of its class is
-   posted for the next one too. (A set that is empty in some such fragments is posted under that and each choice of a second,
-   independent cut, so empty fragments bring nobody together.)
+   of twice d + 1 for long texts, most of a set for short ones. Sizes are dealt to classes, and a set near the top of its class
+   is posted for the next one too. (A set that is empty in some such fragments is posted under that and each choice of a second,
+   independent cut, so empty fragments bring nobody together.) Of a long set's fragments more than half must agree, so one of
+   its d + 1 rarest digests is among the other's d + 1 rarest: digests that many texts share bring nobody together.
 2. *Bound.* Quarters of fragments are kept as 4-bit digests, sixteen to a number; the number of quarters that differ is a lower
    bound of the difference and drops most false candidates before a text is read again.
 3. *Count.* For the pairs left, partial overlaps per fragment are counted one by one and summed per pair: the exact overlap.
@@ -63,9 +64,8 @@ class Classes:
 
     def __init__(self, num: int = NUM, den: int = DEN):
         self.num, self.den, self.low = num, den, [1]
-        #: Below the query's threshold sets may differ in much of themselves: classes are narrower, fragments twice as many.
-        self.spare = num * DEN < NUM * den
-        self.power = 1 if self.spare else 3
+        #: Below the query's threshold sets may differ in much of themselves: classes are narrower.
+        self.power = 1 if num * DEN < NUM * den else 3
 
     def of(self, n: int) -> int:
         while self.low[-1] <= n:
@@ -120,15 +120,16 @@ def choices(d: int) -> np.ndarray:
     return np.array(list(combinations(range(f), f - d)))
 
 
-def postings(h: np.ndarray, c: int, d: int, spare: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Posting keys of a set in class ``c`` (the class in the low bits) and the digests of its fragments' quarters.
+def postings(h: np.ndarray, c: int, d: int) -> tuple[np.ndarray, np.ndarray, int | None]:
+    """Posting keys of a set in class ``c`` (the class in the low bits), the digests of its fragments' quarters, and how many of the
+    keys suffice, the rarest first (None: all are needed).
 
-    With ``spare``, a long set is cut into twice d + 1 fragments. If more than d of them hold something, one of those agrees in
-    any set that links, so the empty ones need no posting.
+    A long set is cut into twice d + 1 fragments. If more than d of them hold something, all but d of those agree in any set
+    that links. So the empty ones need no posting, and one of the d + 1 first, in any order of all keys, is posted by both.
     """
-    chosen = choices(d)
-    spare = spare and chosen.shape[1] == 1
-    if spare:
+    chosen, enough = choices(d), None
+    single = chosen.shape[1] == 1
+    if single:
         chosen = np.arange(2 * (d + 1))[:, None]
     parts = int(chosen.max()) + 1
     sums, sizes = _cut(h, W.mix(h ^ _SECOND), 4 * parts)
@@ -137,8 +138,8 @@ def postings(h: np.ndarray, c: int, d: int, spare: bool = False) -> tuple[np.nda
     keys = W.mix(quarters.sum(1, dtype=np.uint64) + W.mix(place))
     keys = W.mix(keys[chosen].sum(1, dtype=np.uint64))
     empty = np.flatnonzero(sizes.reshape(-1, 4).sum(1)[chosen].sum(1) == 0)
-    if spare and len(keys) - len(empty) > d:
-        keys = np.delete(keys, empty)
+    if single and len(keys) - len(empty) > d:
+        keys, enough = np.delete(keys, empty), d + 1
     elif len(empty):
         other = np.sort(W.mix(h + _SECOND))
         again, _ = _cut(other, W.mix(other), parts)
@@ -150,7 +151,22 @@ def postings(h: np.ndarray, c: int, d: int, spare: bool = False) -> tuple[np.nda
     digests = np.zeros(-(-len(sums) // 16) * 16, np.uint64)
     digests[: len(sums)] = W.mix(sums) >> W.U64(60)
     packed = (digests.reshape(-1, 16) << (W.U64(4) * np.arange(16, dtype=np.uint64))).sum(1, dtype=np.uint64)
-    return keys.view(np.int64), packed.view(np.int64)
+    return keys.view(np.int64), packed.view(np.int64), enough
+
+
+_NO_POSTINGS = (np.zeros(0, np.int64), np.zeros(0, np.int64), None)
+
+
+def _posted(h: np.ndarray, classes: Classes) -> list[tuple[int, tuple]]:
+    """The one or two classes that a set is posted for, with its postings there."""
+    if not len(h):
+        return [(0, _NO_POSTINGS)]
+    c = classes.of(len(h))
+    d = classes.difference(c)
+    out = [(c, postings(h, c, d) if d else _NO_POSTINGS)]
+    if classes.next_too(len(h), c) and (d := classes.difference(c + 1)):
+        out.append((c + 1, postings(h, c + 1, d)))
+    return out
 
 
 def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -158,74 +174,82 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else [], kind))
 
 
-_SKETCH = "doc_id long, n long, d1 long, d2 long, cfg int, keys array<long>, quarters array<long>, cfg_up int, keys_up array<long>, quarters_up array<long>"
+_SKETCH = "doc_id long, n long, d1 long, d2 long, cfg int, posted int, enough int, quarters array<long>, cfg_up int, posted_up int, enough_up int, quarters_up array<long>"
 
 
 def sketches(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """Per row: set size, 128-bit digest of the set, posting keys and quarter digests for one or two classes."""
+    """Per row: set size, 128-bit digest of the set, number of posting keys and quarter digests for one or two classes."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(num, den)
-        none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):
                 batch = whole.slice(lo, 2048)
-                size, d1, d2, own, up, cfg, cfg_up = [], [], [], [], [], [], []
+                size, d1, d2, own, up = [], [], [], [], []
                 for h in gram_sets(batch.column(1), n):
-                    c = classes.of(len(h)) if len(h) else 0
-                    nxt = c + 1 if len(h) and classes.next_too(len(h), c) else -1
-                    d = classes.difference(c) if len(h) else 0
-                    d_up = classes.difference(nxt) if nxt > 0 else 0
                     size.append(len(h))
                     d1.append(W.mix(h).sum(dtype=np.uint64))
                     d2.append(W.mix(h ^ _SECOND).sum(dtype=np.uint64))
-                    own.append(postings(h, c, d, classes.spare) if d else none)
-                    up.append(postings(h, nxt, d_up, classes.spare) if d_up else none)
-                    cfg.append(c)
-                    cfg_up.append(nxt)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(size, pa.int64()), pa.array(np.array(d1, np.uint64).view(np.int64)), pa.array(np.array(d2, np.uint64).view(np.int64)),
-                     pa.array(cfg, pa.int32()), _lists([k for k, _ in own], pa.int64()), _lists([f for _, f in own], pa.int64()),
-                     pa.array(cfg_up, pa.int32()), _lists([k for k, _ in up], pa.int64()), _lists([f for _, f in up], pa.int64())],
-                    names=[x.split()[0] for x in _SKETCH.split(", ")],
-                )
+                    first, *second = [(c, len(keys), enough, quarters) for c, (keys, quarters, enough) in _posted(h, classes)]
+                    own.append(first)
+                    up.append(second[0] if second else (-1, 0, None, _NO_POSTINGS[1]))
+                columns = [batch.column(0), pa.array(size, pa.int64()), pa.array(np.array(d1, np.uint64).view(np.int64)), pa.array(np.array(d2, np.uint64).view(np.int64))]
+                for side in (own, up):
+                    columns += [pa.array([r[i] for r in side], pa.int32()) for i in range(3)] + [_lists([r[3] for r in side], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _SKETCH.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(read, _SKETCH)
 
 
-def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of a batch, one row per key: (key, the smallest id, the other ids or null)."""
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        keys, who = [], []
-        for column in (batch.column(1), batch.column(2)):
-            counts = np.diff(column.offsets.to_numpy())
-            keys.append(column.flatten().to_numpy(zero_copy_only=False))
-            who.append(np.repeat(ids, counts))
-        key, rep = np.concatenate(keys), np.concatenate(who)
-        if not len(key):
-            continue
-        order = np.lexsort((rep, key))
-        key, rep = key[order], rep[order]
-        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(head, len(key)))
-        rest = np.ones(len(key), bool)
-        rest[head] = False
-        offsets = np.concatenate([[0], np.cumsum(size - 1)]).astype(np.int32)
-        others = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rep[rest], pa.int64()), mask=pa.array(size == 1))
-        out = pa.RecordBatch.from_arrays([pa.array(key[head], pa.int64()), pa.array(rep[head], pa.int64()), others], names=["key", "lead", "others"])
-        for lo in range(0, out.num_rows, 100_000):
-            yield out.slice(lo, 100_000)
-
-
-def members(reps: DataFrame) -> DataFrame:
-    """(key, lead, total, rep) of every posting group of two or more representatives."""
-    rows = reps.select("rep", "keys", "keys_up").mapInArrow(_combined, "key long, lead long, others array<long>")
+def combined(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Postings, one row per key and batch: (key, the smallest id, the other ids or null)."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = Classes(num, den)
+        for batch in batches:
+            keys = [np.concatenate([keys for _, (keys, _, _) in _posted(h, classes)]) for h in gram_sets(batch.column(1), n)]
+            if not sum(map(len, keys)):
+                continue
+            rep = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(k) for k in keys])
+            key = np.concatenate(keys)
+            order = np.lexsort((rep, key))
+            key, rep = key[order], rep[order]
+            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(head, len(key)))
+            rest = np.ones(len(key), bool)
+            rest[head] = False
+            offsets = np.concatenate([[0], np.cumsum(size - 1)]).astype(np.int32)
+            others = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rep[rest], pa.int64()), mask=pa.array(size == 1))
+            out = pa.RecordBatch.from_arrays([pa.array(key[head], pa.int64()), pa.array(rep[head], pa.int64()), others], names=["key", "lead", "others"])
+            for lo in range(0, out.num_rows, 100_000):
+                yield out.slice(lo, 100_000)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(read, "key long, lead long, others array<long>")
+
+
+def _key_class() -> Column:
+    return F.col("key").bitwiseAND(F.lit((1 << _CLASS_BITS) - 1)).cast("int").alias("cfg")
+
+
+def members(docs: DataFrame, named: DataFrame, ids: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(key, lead, total, rep) of every posting group of two or more of the representatives ``ids`` (rep) of the sketches ``named``."""
+    reps = _sized(ids.select("rep").distinct())
+    read = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = combined(read.join(reps, read["doc_id"] == reps["rep"], "left_semi"), n, num, den)
     group = Window.partitionBy("key")
     size = 1 + F.coalesce(F.when(F.col("others").isNotNull(), F.size("others")), F.lit(0))
-    rows = rows.withColumn("total", F.sum(size).over(group)).withColumn("first", F.min("lead").over(group)).where("total > 1")
+    rows = rows.withColumn("total", F.sum(size).over(group)).where("total > 1")
     everyone = F.concat(F.array("lead"), F.coalesce("others", F.array().cast("array<long>")))
-    return rows.select("key", F.col("first").alias("lead"), "total", F.explode(everyone).alias("rep"))
+    rows = rows.select("key", "total", F.explode(everyone).alias("rep"), _key_class())
+    sides = F.array(*[F.struct(F.col(f"cfg{u}").alias("cfg"), F.col(f"posted{u}").alias("posted"), F.col(f"enough{u}").alias("enough")) for u in ("", "_up")])
+    known = named.select(F.col("doc_id").alias("rep"), "d1", F.explode(sides).alias("s")).where("s.enough IS NOT NULL")
+    known = known.groupBy("rep", F.col("s.cfg").alias("cfg")).agg(F.min("s.posted").alias("posted"), F.min("s.enough").alias("enough"), (F.min("d1") == F.max("d1")).alias("one"))
+    own = Window.partitionBy("rep", "cfg")  # one text's own keys
+    rows = rows.join(known.where("one").drop("one"), ["rep", "cfg"], "left").withColumn("rank", F.dense_rank().over(own.orderBy("total", "key")))
+    alone = F.col("posted") - F.max("rank").over(own)  # keys that no other text has come first
+    rows = stored(rows.withColumn("rank", F.col("rank") + alone).where("enough IS NULL OR rank <= enough").select("key", "rep").distinct(), "postings")
+    groups = rows.groupBy("key").agg(F.count("*").alias("total"), F.min("rep").alias("lead")).where("total > 1")
+    return rows.join(groups, "key").select("key", "lead", "total", "rep")
 
 
 def _sized(ids: DataFrame) -> DataFrame:
@@ -316,21 +340,20 @@ def link_classes(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN
     """(doc_id, n_shingles, component_id) of every row. Runs its jobs when called."""
     sketch = stored(sketches(docs, n, num, den), "sketch")
     named = sketch.where("n > 0 AND doc_id IS NOT NULL")
-    reps = named.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("keys_up").alias("keys_up"))
-    member = stored(members(reps), "members")
-    key_class = F.col("key").bitwiseAND(F.lit((1 << _CLASS_BITS) - 1)).cast("int").alias("cfg")
+    ids = stored(named.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "reps")
+    member = stored(members(docs, named, ids, n, num, den), "members")
 
     def links_of(pairs: DataFrame) -> DataFrame:
         return stored(counted(bounded(pairs, sketch, num, den), docs, n, num, den).select("x", "y"), "new-links")
 
-    links = links_of(member.where("rep <> lead").select(F.col("lead").alias("x"), F.col("rep").alias("y"), key_class).distinct())
+    links = links_of(member.where("rep <> lead").select(F.col("lead").alias("x"), F.col("rep").alias("y"), _key_class()).distinct())
     labels = components(links)
     rows = _mixed_groups(member, labels)
     found = 0
     for turn in range(LEADER_ROUNDS):
         drawn = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("draw"), "rep", "component"))
         leads = rows.groupBy("key").agg(drawn.alias("l")).select("key", F.col("l.rep").alias("x"), F.col("l.component").alias("cx"))
-        pairs = rows.join(leads, "key").where("component <> cx").select("x", F.col("rep").alias("y"), key_class).distinct()
+        pairs = rows.join(leads, "key").where("component <> cx").select("x", F.col("rep").alias("y"), _key_class()).distinct()
         new = links_of(pairs)
         found, last = new.count(), found
         if not found:
@@ -340,22 +363,21 @@ def link_classes(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN
         rows = _mixed_groups(member, labels)
         if found < WORTH * last:
             break
-    new = stored(_rest(rows, sketch, docs, n, num, den, key_class), "rest-links")
+    new = stored(_rest(rows, sketch, docs, n, num, den), "rest-links")
     if not new.isEmpty():
         labels = components(links.unionByName(new))
-    ids = named.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     found = sketch.select("doc_id", "n", "d1", "d2").join(ids, ["n", "d1", "d2"], "left")
     found = found.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-def _rest(rows: DataFrame, sketch: DataFrame, docs: DataFrame, n: int, num: int, den: int, key_class: Column) -> DataFrame:
+def _rest(rows: DataFrame, sketch: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Links of the minority members of each mixed group with members of other components."""
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("k"))
     major = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("major"))
     known = _quarters_of(sketch, rows.select(F.col("rep").alias("id")).distinct())
-    full = rows.select("*", key_class).join(known.withColumnRenamed("id", "rep").withColumnRenamed("cfg", "own_cfg"), "rep")
+    full = rows.select("*", _key_class()).join(known.withColumnRenamed("id", "rep").withColumnRenamed("cfg", "own_cfg"), "rep")
     own = F.when(F.col("own_cfg") == F.col("cfg"), F.col("quarters")).otherwise(F.col("quarters_up"))
     full = stored(full.join(major, "key").select("key", "rep", "component", "major", "n", own.alias("quarters")), "rest")
     a = full.where("component <> major").select("key", *[F.col(c).alias(f"{c}_x") for c in ("rep", "component", "n", "quarters")])
