@@ -111,3 +111,20 @@ def incident_report(parts: dict[str, DataFrame], incident: str = "incident_id")
         nested = part.select(incident, F.struct(*fields).alias(name))
         out = nested if out is None else out.join(nested, incident, "full_outer")
     return out
+
+
+def response_parts(
+    events: DataFrame, signals: DataFrame, types: Sequence[str], required: Sequence[str], checks: Sequence[tuple[str, str, str]], incident: str = "incident_id"
+) -> dict[str, DataFrame]:
+    """The operational parts of a report, all from one table of event times: timeline, alert, sla, root_cause.
+
+    An incident without an alert has a NULL alert; its lists hold one entry per required type, metric or check.
+    """
+    at = event_times(events, types, incident)
+    gone = F.array_compact(F.array(*[F.when(F.col(t).isNull(), F.lit(t)) for t in sorted(required)]))
+    timeline = at.select(incident, gone.alias("missing"), (F.size(gone) == 0).alias("complete"))
+    metric = F.struct("name", "observed_minutes", "target_minutes", "status")
+    met = sla(at).groupBy(incident).agg(F.sort_array(F.collect_list(metric)).alias("metrics"), F.bool_and(F.col("status") == "PASS").alias("all_met"))
+    failed = F.collect_list(F.when(~F.col("passed"), F.col("check_name")))
+    cause = ordering_checks(at, checks).groupBy(incident).agg(F.bool_and("passed").alias("in_order"), F.sort_array(failed).alias("failed_checks"))
+    return {"timeline": timeline, "alert": alerts(signals, at, incident), "sla": met, "root_cause": cause}

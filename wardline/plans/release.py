@@ -462,18 +462,43 @@ def m6(spark, d):
     return incidents.ordering_checks(times(spark, d), _CHECKS)
 
 
+#: Range of an event's value, share of values outside that blocks, and share of errors that raises an alert.
+_LO, _HI, _BLOCK_ABOVE, _SIGNAL_MAX = 0.0, 150.0, 0.1, 0.22
+
+
 @query(
     "m7_incident_report",
-    f"""WITH {_INC}, {_TIMES}, {_SLA}, s AS (SELECT incident_id, bool_and(status = 'PASS') AS all_slas_pass FROM sla GROUP BY 1), q AS (SELECT incident_id, count(*) AS n_events, count(*) FILTER (WHERE event_type = 'TRIAGE_STARTED') AS triages FROM inc GROUP BY 1)
-    SELECT incident_id, n_events, triages, all_slas_pass FROM q FULL JOIN s USING (incident_id)""",
+    f"""WITH {_INC}, {_TIMES}, {_SLA},
+    s AS (SELECT incident_id, bool_and(status = 'PASS') AS all_slas_pass, string_agg(name || ':' || status, ',' ORDER BY name) AS slas FROM sla GROUP BY 1),
+    q AS (SELECT user_id AS incident_id, count(*) AS n_events, count(*) FILTER (WHERE event_type = 'error') AS triages, count(*) FILTER (WHERE value IS NULL OR value < {_LO} OR value > {_HI}) AS bad_values FROM events GROUP BY 1),
+    i AS (SELECT e.user_id AS incident_id, sum(CASE WHEN ts < TRIAGE_STARTED THEN value::DECIMAL(18, 2) ELSE 0 END)::DOUBLE AS sold_before, sum(CASE WHEN ts >= TRIAGE_STARTED THEN value::DECIMAL(18, 2) ELSE 0 END)::DOUBLE AS sold_after
+          FROM events e JOIN tm ON tm.incident_id = e.user_id WHERE event_type = 'purchase' GROUP BY 1),
+    o AS (SELECT incident_id, {" || ".join(f"CASE WHEN coalesce({a} <= {c}, false) THEN '' ELSE ',{n}' END" for n, a, c in sorted(_CHECKS))} AS failed FROM tm)
+    SELECT incident_id, n_events, triages, bad_values, CASE WHEN bad_values > {_BLOCK_ABOVE} * n_events THEN 'BLOCK' ELSE 'ALLOW' END AS decision,
+      CASE WHEN triages / n_events > {_SIGNAL_MAX} AND ALERT_CREATED IS NOT NULL THEN 'HIGH' END AS alert_severity, all_slas_pass, slas, sold_before, sold_after,
+      failed = '' AS in_order, ltrim(failed, ',') AS failed_checks, ROOT_CAUSE_COMPLETED IS NOT NULL AND ALERT_CREATED IS NOT NULL AND TRIAGE_STARTED IS NOT NULL AS complete
+    FROM q JOIN s USING (incident_id) JOIN tm USING (incident_id) JOIN o USING (incident_id) LEFT JOIN i USING (incident_id)""",
+    ["sold_before", "sold_after"],
 )
 def m7(spark, d):
-    quality_part = timeline(spark, d).groupBy("incident_id").agg(
-        F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("event_type") == "TRIAGE_STARTED").alias("triages")
+    raw = b.table(spark, d, "events").withColumnRenamed("user_id", "incident_id")
+    bad = F.coalesce(~F.col("value").between(_LO, _HI), F.lit(True))
+    quality = raw.groupBy("incident_id").agg(
+        F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("event_type") == "error").alias("triages"), F.count_if(bad).alias("bad_values")
+    )
+    quality = quality.withColumn("decision", F.when(F.col("bad_values") > _BLOCK_ABOVE * F.col("n_events"), "BLOCK").otherwise("ALLOW"))
+    sold = raw.where("event_type = 'purchase'").join(times(spark, d).select("incident_id", "TRIAGE_STARTED"), "incident_id")
+    amount, begun = F.col("value").cast("decimal(18,2)"), F.col("TRIAGE_STARTED")
+    part = lambda when: F.sum(F.when(when, amount).otherwise(F.lit(0))).cast("double")
+    impact = sold.groupBy("incident_id").agg(part(F.col("ts") < begun).alias("sold_before"), part(F.col("ts") >= begun).alias("sold_after"))
+    signals = quality.select("incident_id", (F.col("triages") / F.col("n_events")).alias("observed"), F.lit(_SIGNAL_MAX).alias("expected_max"))
+    response = incidents.response_parts(timeline(spark, d), signals, _TYPES, _REQUIRED, _CHECKS)
+    report = incidents.incident_report({"quality": quality, "impact": impact, **response})
+    named = F.array_join(F.transform("sla.metrics", lambda m: F.concat(m["name"], F.lit(":"), m["status"])), ",")
+    return report.select(
+        "incident_id", "quality.*", F.col("alert.severity").alias("alert_severity"), F.col("sla.all_met").alias("all_slas_pass"), named.alias("slas"),
+        "impact.sold_before", "impact.sold_after", "root_cause.in_order", F.array_join("root_cause.failed_checks", ",").alias("failed_checks"), "timeline.complete",
     )
-    verdict = incidents.all_slas_met(incidents.sla(times(spark, d)))
-    report = incidents.incident_report({"activity": quality_part, "sla": verdict})
-    return report.select("incident_id", "activity.n_events", "activity.triages", "sla.all_slas_pass")
 
 
 # ------------------------------------------------------------------ N

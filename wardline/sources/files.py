@@ -61,8 +61,10 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVENT_SCHEMA).json(path)
 
 
-def stream_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(EVENT_SCHEMA).json(path)
+def stream_events(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """The event log as a stream; ``max_files`` bounds a micro-batch."""
+    reader = spark.readStream.schema(EVENT_SCHEMA)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).json(path)
 
 
 def quarantine(df: DataFrame, decisions: DataFrame, path: str, batch: str = "batch_name") -> None:
