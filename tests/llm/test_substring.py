@@ -144,3 +144,102 @@ def test_passages_take_odd_rows(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.repeats(docs).count() == 0 and S.deduplicated(docs).count() == 0
+
+
+def every_stretch(rows):
+    """(id, text) -> repeated bytes, bytes to remove, longest: all stretches of MIN_RUN bytes compared, and runs of shared chunks."""
+    rows = [(-(1 << 63) if i is None else i, t) for i, t in rows if t]
+    where, held = {}, {}
+    for i, t in rows:
+        data = t.encode()
+        for a in range(len(data) - S.MIN_RUN + 1):
+            where.setdefault(data[a : a + S.MIN_RUN], []).append((i, t, a))
+        at = 0
+        for c in chunks(t):
+            held.setdefault(c, []).append((i, t, at))
+            at += len(c)
+    # the order of two texts with one id is that of their digests; these tests give such texts no passage in common
+    least = {w: min(at) for w, at in where.items()}
+    first = {c: min(at) for c, at in held.items()}
+    out = {}
+    for i, t in rows:
+        data, every, gone = t.encode(), set(), set()
+        head = [k == len(data) or data[k] & 0xC0 != 0x80 for k in range(len(data) + 1)]
+
+        def take(a, b, removed):
+            while not head[a]:
+                a += 1
+            while not head[b]:
+                b -= 1
+            every.update(range(a, b))
+            gone.update(range(a, b) if removed else ())
+
+        for a in range(len(data) - S.MIN_RUN + 1):
+            w = data[a : a + S.MIN_RUN]
+            if len(where[w]) > 1:
+                take(a, a + S.MIN_RUN, least[w] != (i, t, a))
+        at, run = 0, []
+        for c in [*chunks(t), None]:
+            if c and len(held[c]) > 1:
+                run.append((at, c))
+            else:
+                if sum(len(x) for _, x in run) >= S.MIN_RUN:
+                    for a, x in run:
+                        take(a, a + len(x), first[x] != (i, t, a))
+                run = []
+            at += len(c or b"")
+        if every:
+            ordered, longest, last = sorted(every), 0, None
+            for k in ordered:
+                size = size + 1 if last == k - 1 else 1
+                longest, last = max(longest, size), k
+            out[i, t] = len(every), len(gone), longest
+    return out
+
+
+def test_passages_equal_all_stretches_compared(spark):
+    rnd = random.Random(11)
+    long, line, many = words(rnd, 90), words(rnd, 22), words(rnd, 30)
+    rows = []
+    for k in range(70):
+        parts = [words(rnd, rnd.randint(0, 30))]
+        for _ in range(rnd.randint(0, 3)):
+            source = rnd.choice([long, line, many])
+            a, b = sorted(rnd.randrange(len(source) + 1) for _ in "ab")
+            parts += [source[a:b] if rnd.random() < 0.7 else source, words(rnd, rnd.randint(0, 12))]
+        rows.append((k, " ".join(parts)))
+    rows += [(200, rows[3][1]), (201, rows[3][1] + " x"), (202, None), (203, ""), (204, "ab" * 400), (205, "日本語" * 120), (None, rows[5][1]), (7, rows[7][1])]
+    got = {(r["id"], r["text"]): (r["repeat_bytes"], r["removed_bytes"], r["longest_run"]) for r in S.passages(frame(spark, rows)).join(S._texts(frame(spark, rows)), ["id", "hash"]).collect()}
+    assert got == every_stretch(rows)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+
+
+def test_later_holders_count_where_earlier_ones_share_the_ends_only(spark):
+    rnd = random.Random(12)
+    rows = []
+    for k in range(60):
+        p = words(rnd, 60).encode("ascii", "replace").decode()[:200]
+        texts = [p[:136], p[-136:], p, p]
+        rows += [(4 * k + j, f"{words(rnd, 20)} {t} {words(rnd, 20)}") for j, t in enumerate(texts)]
+    got = {r["id"]: r["removed_bytes"] for r in S.passages(frame(spark, rows)).collect()}
+    assert all(got.get(4 * k + 3, 0) >= 200 for k in range(60))
+
+
+def test_own_columns_may_clash(spark):
+    rnd = random.Random(13)
+    p = words(rnd, 80)
+    rows = [(i, f"{words(rnd, 9)} {p}", 1, "h", [2]) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id_ int, HASH_ string, cuts_ array<int>")
+    for clean in (S.without_passages(docs), S.deduplicated(docs)):
+        assert clean.columns == docs.columns and clean.count() == 3 and clean.select("id_", "HASH_", "cuts_").distinct().count() == 1
+
+
+def test_a_hot_passage_is_found_in_every_holder(spark):
+    rnd = random.Random(14)
+    p = words(rnd, 60)
+    rows = [(i, f"{words(rnd, 15)} {p} {words(rnd, 15)}" if i % 3 else words(rnd, 40)) for i in range(900)]
+    got = {r["id"]: (r["repeat_bytes"], r["removed_bytes"], r["longest_run"]) for r in S.passages(frame(spark, rows)).collect()}
+    assert set(got) == {i for i in range(900) if i % 3} and got == {i: v for (i, _), v in every_stretch(rows).items()}

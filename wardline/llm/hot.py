@@ -1,4 +1,4 @@
-"""Joins of many rows to one row per key where a few keys may hold a large part of the rows."""
+"""Joins of many rows to one row per key where a few keys may hold a large part of the rows, and names for a join's own columns."""
 
 from __future__ import annotations
 
@@ -20,3 +20,11 @@ def join_to_one(rows: DataFrame, one: DataFrame, key: list[str], share: int = SH
     hot = one.join(counts.where(F.col("_rows") * share >= total).drop("_rows"), key, "left_semi")
     cold = rows.join(F.broadcast(hot.select(*key)), key, "left_anti")
     return rows.join(F.broadcast(hot), key).unionByName(cold.join(one, key))
+
+
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that ``docs`` does not have (names are the same in any case)."""
+    taken, end = {c.lower() for c in docs.columns}, "_"
+    while any((n + end).lower() in taken for n in names):
+        end += "_"
+    return [n + end for n in names]

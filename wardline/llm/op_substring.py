@@ -4,13 +4,16 @@ A gear hash rolls over every text's bytes; a chunk ends where certain bits of it
 bytes. Those bits depend on the last 16 bytes only, so an insertion moves the chunks around it and no others. Chunks meet by
 the 64-bit digest of their bytes; what occurs more than once is shared. The first occurrence (smallest id, then place) is kept.
 Shared chunks count where they stand in an unbroken run of ``MIN_RUN`` bytes or more, so a phrase in passing is left alone.
-A passage seldom begins and ends with a chunk and may hold no whole one, so ``passages`` (what the query reports) also posts the smallest
-hash of ``ANCHOR`` bytes in every window: a stretch of ``MIN_RUN`` bytes always holds one. Every shared chunk or window is an
-anchor; it is extended byte by byte against the text of its first occurrence, and ``MIN_RUN`` applies to what is shared. Only
-texts with anchors are joined for that. ``repeats`` and ``deduplicated`` stay with whole chunks; ``without_passages`` cuts to the byte.
+A passage seldom begins and ends with a chunk and may hold no whole one, so ``passages`` (what the query reports) adds what chunks
+cannot see: every stretch of ``MIN_RUN`` bytes that occurs twice, wherever it begins. The smallest hash of ``ANCHOR`` bytes in a stretch is
+its anchor, so equal stretches have equal anchors; the stretches around an anchor are compared by digest, first all those on one side of
+it at once, then in ``PARTS`` parts, and one by one only where a part is shared but its surroundings differ, which is at a passage's ends.
+No two texts are ever joined: every comparison is a grouping by digest, so all holders count and not only the first.
+``repeats`` and ``deduplicated`` stay with whole chunks; ``without_passages`` cuts to the byte (to whole characters).
 
 Occurrences are combined per batch before the shuffle (one row per digest and batch), so a passage that a third of all
-texts share is a few rows per batch in its task. Only shared chunks go on; a text is never shuffled to find them.
+texts share is a few rows per batch in its task. Only shared chunks and anchors go on; texts with a passage's end are read again there.
+Groups that hold a large part of the rows meet their one-row answer by broadcast (``hot.SHARE`` of them at most).
 
 Nulls and edge cases: a null or empty text has no chunks; repeated rows of one id are occurrences of their own (so they are shared
 with each other) and are reported together; rows with a null id count as occurrences and report no repeats; extra
@@ -23,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm import words as W
+from wardline.llm.hot import SHARE, free_names
 from wardline.llm.op_ngram_join import _sized
 from wardline.llm.registry import query, table
 from wardline.sources.tables import stored
@@ -108,14 +112,78 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 _NO_ID = -(1 << 63)
-_ROWS = "key long, size int, ids array<long>, texts array<long>, places array<int>, starts array<int>"
+#: What a row stands for: a chunk, or the stretches that begin less, or more, than half their room before an anchor.
+CHUNK, LATE, EARLY = 0, 1, 2
+_ROOM = MIN_RUN - ANCHOR + 1
+_SIDES = {LATE: (0, _ROOM // 2), EARLY: (_ROOM // 2, _ROOM)}
+#: Parts of one side that are compared before single stretches.
+PARTS = 4
+_POST = "key long, around long, id long, hash long, kind int, at int, a int, b int"
+_PART = "key long, around long, id long, hash long, at int, w array<long>, a array<int>, b array<int>"
+
+
+def _whole(heads: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans without the characters that they cut."""
+    for _ in range(3):
+        a, b = a + ~heads[a], b - ~heads[b]
+    return a, b
 
 
-def occurrences(docs: DataFrame, anchored: bool = False) -> DataFrame:
-    """One row per chunk digest and batch: (key, size, ids, texts, places, starts), the smallest (id, text digest, start) first.
+def _heads(data: np.ndarray) -> np.ndarray:
+    heads = np.ones(len(data) + 1, bool)
+    heads[:-1] = (data & 0xC0) != 0x80
+    return heads
+
 
-    With ``anchored``, windows too; their place is -1.
-    """
+def _chunk_posts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    starts, ends, first = chunk_bounds(data, offsets)
+    return W.span_hashes(data, starts, ends), np.zeros(len(starts), np.uint64), W.rows_of(first), np.full(len(starts), CHUNK), starts, starts, ends
+
+
+def _side_posts(data: np.ndarray, offsets: np.ndarray, kind: int, anchors: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """For each anchor with stretches on this side: digest of what they all hold, digest of all of them, and their union."""
+    at, _, first = anchors
+    rows, (low, high) = W.rows_of(first), _SIDES[kind]
+    least, most = np.maximum(low, at + MIN_RUN - offsets[rows + 1]), np.minimum(high - 1, at - offsets[rows])
+    some = least <= most
+    at, rows, least, most = at[some], rows[some], least[some], most[some]
+    key = W.mix(W.span_hashes(data, at - low, at - high + 1 + MIN_RUN) + W.U64(kind))
+    around = W.mix(W.span_hashes(data, at - most, at - least + MIN_RUN) + (least * 256 + most).astype(np.uint64))
+    return key, around, rows, np.full(len(at), kind), at, *_whole(_heads(data), at - most, at - least + MIN_RUN)
+
+
+def posts(docs: DataFrame, anchored: bool = True, counts: bool = False) -> DataFrame:
+    """One row per chunk and, with ``anchored``, per anchor and side; with ``counts`` only (key, n) per batch."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            digests = batch.column(1).to_numpy(zero_copy_only=False)
+            for row, end, data, offsets in W.chunks(batch.column(2)):
+                found = [_chunk_posts(data, offsets)]
+                if anchored:
+                    at = windows(data, offsets)
+                    found += [_side_posts(data, offsets, kind, at) for kind in _SIDES]
+                key, around, rows, kind, at, a, b = (np.concatenate(x) for x in zip(*found))
+                key, around, shift = key.view(np.int64), around.view(np.int64), offsets[rows]
+                if counts:
+                    key, n = np.unique(key, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n, pa.int64())], names=["key", "n"])
+                    continue
+                places = [pa.array(x.astype(np.int32)) for x in (kind, at - shift, a - shift, b - shift)]
+                columns = [pa.array(key), pa.array(around), pa.array(ids[row:end][rows]), pa.array(digests[row:end][rows]), *places]
+                out = pa.RecordBatch.from_arrays(columns, names=["key", "around", "id", "hash", "kind", "at", "a", "b"])
+                for lo in range(0, out.num_rows, 50_000):
+                    yield out.slice(lo, 50_000)
+
+    return _texts(docs).mapInArrow(read, "key long, n long" if counts else _POST)
+
+
+_ROWS = "key long, size int, ids array<long>, texts array<long>, places array<int>, starts array<int>"
+
+
+def occurrences(docs: DataFrame) -> DataFrame:
+    """One row per chunk digest and batch: (key, size, ids, texts, places, starts), the smallest (id, text digest, start) first."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,14 +198,6 @@ def occurrences(docs: DataFrame, anchored: bool = False) -> DataFrame:
                 text.append(np.repeat(digests[row:end], np.diff(first)))
                 begin.append(starts - np.repeat(offsets[:-1], np.diff(first)))
                 place.append(np.arange(len(starts)) - np.repeat(first[:-1], np.diff(first)))
-                if anchored:
-                    starts, hashes, first = windows(data, offsets)
-                    key.append(hashes)
-                    size.append(np.full(len(starts), ANCHOR))
-                    who.append(np.repeat(ids[row:end], np.diff(first)))
-                    text.append(np.repeat(digests[row:end], np.diff(first)))
-                    place.append(np.full(len(starts), -1))
-                    begin.append(starts - np.repeat(offsets[:-1], np.diff(first)))
             if not key:
                 continue
             key, size, who, text, place, begin = (np.concatenate(x) for x in (key, size, who, text, place, begin))
@@ -156,13 +216,14 @@ def occurrences(docs: DataFrame, anchored: bool = False) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text)).mapInArrow(read, _ROWS)
 
 
-def anchors(docs: DataFrame, anchored: bool = True) -> DataFrame:
-    """Every occurrence of a chunk or window that occurs more than once, and the first one: (id, hash, place, start, size, origin)."""
-    group = Window.partitionBy("key")
-    rows = occurrences(docs, anchored).withColumn("total", F.sum(F.size("ids")).over(group))
+def anchors(docs: DataFrame) -> DataFrame:
+    """Every occurrence of a chunk that occurs more than once, and the first one: (id, hash, place, start, size, origin)."""
     head = [F.get(c, 0).alias(n) for c, n in (("ids", "id"), ("texts", "hash"), ("starts", "start"))]
-    rows = rows.withColumn("origin", F.min(F.struct(*head)).over(group)).where("total > 1")
-    one = rows.select("size", "origin", F.explode(F.arrays_zip("ids", "texts", "places", "starts")).alias("o"))
+    rows = occurrences(docs)
+    lists = rows.withColumn("n", F.size("ids"))
+    one = lists.groupBy("key").agg(F.sum("n").alias("total"), F.min(F.struct(*head)).alias("origin")).where("total > 1")
+    shared = lists.join(one, "key")  # a batch's list is one row, so a hot key is as many rows as there are batches
+    one = shared.select("size", "origin", F.explode(F.arrays_zip("ids", "texts", "places", "starts")).alias("o"))
     own = [F.col(f"o.{c}").alias(n) for c, n in (("ids", "id"), ("texts", "hash"), ("places", "place"), ("starts", "start"))]
     return one.select(*own, "size", "origin")
 
@@ -173,7 +234,7 @@ def _is_first() -> Column:
 
 def shared_chunks(docs: DataFrame) -> DataFrame:
     """Every occurrence of a chunk that occurs more than once: (doc_id, place, size, first)."""
-    return anchors(docs, anchored=False).where(F.col("id") > _NO_ID).select(F.col("id").alias("doc_id"), "place", "size", _is_first().alias("first"))
+    return anchors(docs).where(F.col("id") > _NO_ID).select(F.col("id").alias("doc_id"), "place", "size", _is_first().alias("first"))
 
 
 def repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
@@ -200,8 +261,9 @@ def repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
 
 def deduplicated(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """``docs`` with every repeated passage but its first occurrence cut out of ``text``. Runs the search when called."""
-    gone = stored(repeats(docs, min_run).where("removed_bytes > 0").select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed")), "repeats")
-    marked = docs.join(gone, docs["doc_id"] == gone["_id"], "left").drop("_id")
+    own, cuts = free_names(docs, "id", "removed")
+    gone = stored(repeats(docs, min_run).where("removed_bytes > 0").select(F.col("doc_id").alias(own), F.col("removed").alias(cuts)), "repeats")
+    marked = docs.join(gone, docs["doc_id"] == gone[own], "left").drop(own)
     at, names = docs.columns.index("text"), docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,36 +282,6 @@ def deduplicated(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     return marked.mapInArrow(cut, docs.schema)
 
 
-def _same(a: np.ndarray, b: np.ndarray) -> int:
-    """How many bytes the two have in common from their beginning."""
-    n, at, step = min(len(a), len(b)), 0, 256
-    while at < n:
-        differ = np.flatnonzero(a[at : min(at + step, n)] != b[at : min(at + step, n)])
-        if len(differ):
-            return at + int(differ[0])
-        at, step = min(at + step, n), 2 * step
-    return n
-
-
-def extended(own: np.ndarray, other: np.ndarray, hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Shared stretches (begin, end, begin in ``other``) around the hits (start, start in ``other``, size), to whole characters."""
-    out: list[tuple[int, int, int]] = []
-    reach: dict[int, int] = {}
-    for start, there, size in sorted(hits):
-        shift = there - start
-        if reach.get(shift, -1) >= start + size:
-            continue
-        begin = start - _same(own[:start][::-1], other[:there][::-1])
-        end = start + size + _same(own[start + size :], other[there + size :])
-        reach[shift] = end
-        while begin < end and own[begin] & 0xC0 == 0x80:
-            begin += 1
-        while end > begin and (end < len(own) and own[end] & 0xC0 == 0x80 or end + shift < len(other) and other[end + shift] & 0xC0 == 0x80):
-            end -= 1
-        out.append((begin, end, begin + shift))
-    return out
-
-
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The union of spans as disjoint spans in order."""
     out: list[tuple[int, int]] = []
@@ -261,53 +293,103 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_SPAN = "id long, hash long, a int, b int, gone boolean"
-
-
-def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
-    columns = list(zip(*rows)) if rows else [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["id", "hash", "a", "b", "gone"])
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
 
 
-def passages(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
-    """Repeated passages to the byte: (id, hash, repeat_bytes, removed_bytes, longest_run, cuts), one row per text. Runs jobs when called."""
-    found = stored(anchors(docs), "anchors")
+def _meet(rows: DataFrame, one: DataFrame, key: list[str]) -> DataFrame:
+    """Join of ``rows`` with ``one``, which has one row per key and in ``n`` how many of ``rows`` it meets. Both are stored tables."""
+    total = one.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(one.where(F.col("n") * SHARE >= total))
+    cold = rows.join(hot.select(*key), key, "left_anti").join(one.where(F.col("n") * SHARE < total), key)
+    return rows.join(hot, key).unionByName(cold)
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i, h, chunks in zip(*(c.to_pylist() for c in batch.columns)):
-                rows = sorted({(c["start"], c["start"] + c["size"], c["first"]) for c in chunks})
-                long = [(a, b) for a, b in merged([(a, b) for a, b, _ in rows]) if b - a >= min_run]
-                at = 0
-                for a, b, first in rows:
-                    while at < len(long) and long[at][1] <= a:
-                        at += 1
-                    if at < len(long) and long[at][0] <= a:
-                        out.append((i, h, a, b, not first))
-            yield _span_batch(out)
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(data: np.ndarray, hits: list[tuple[int, int]]) -> Iterator[tuple]:
+    """For each anchor and side of one text, by parts of the side: digest of what the part's stretches all hold, of all of them, and each."""
+    stretch = W.span_hashes(data, at := np.arange(max(0, len(data) - MIN_RUN + 1)), at + MIN_RUN).view(np.int64)
+    a, b = (x.astype(np.int32) for x in _whole(_heads(data), at, at + MIN_RUN))
+    places = [(s, int(p[0]), int(p[-1])) for s, kind in hits for p in np.array_split(np.arange(*_SIDES[kind]), PARTS)]
+    places = [(s, low, high, max(low, s + MIN_RUN - len(data)), min(high, s)) for s, low, high in places]
+    places = [p for p in places if p[3] <= p[4]]
+    if not places:
+        return
+    s, low, high, least, most = np.array(places).T
+    keys = W.mix(W.span_hashes(data, s - low, s - high + MIN_RUN) + low.astype(np.uint64) + W.U64(1000)).view(np.int64)
+    around = W.mix(W.span_hashes(data, s - most, s - least + MIN_RUN) + (least * 256 + most).astype(np.uint64)).view(np.int64)
+    for k, r, i, lo, hi in zip(keys.tolist(), around.tolist(), s.tolist(), (s - most).tolist(), (s - least + 1).tolist()):
+        yield k, r, i, stretch[lo:hi], a[lo:hi], b[lo:hi]
+
+
+def _ends(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """The parts around the given anchors (id, hash, hits), from their texts read again."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "around", "id", "hash", "at", "w", "a", "b"]
+        kinds = [*[pa.int64()] * 4, pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
         for batch in batches:
-            out = []
-            for i, h, oi, oh, hits, own, other in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y = (np.frombuffer(t.encode(), np.uint8) for t in (own, other))
-                for a, b, there in extended(x, y, [(c["start"], c["there"], c["size"]) for c in hits]):
-                    if b - a >= min_run:
-                        out += [(i, h, a, b, True), (oi, oh, there, there + b - a, False)]
-            yield _span_batch(out)
+            for i, h, text, hits in zip(*(c.to_pylist() for c in batch.columns)):
+                data = np.frombuffer(text.encode(), np.uint8)
+                rows = [(k, r, i, h, *rest) for k, r, *rest in _parts(data, sorted((x["at"], x["kind"]) for x in hits))]
+                for lo in range(0, len(rows), 5_000):
+                    columns = zip(*rows[lo : lo + 5_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
+
+    texts = _texts(docs).join(ends, ["id", "hash"]).select("id", "hash", "text", "hits")
+    return texts.mapInArrow(read, _PART)
+
+
+def _differ(of: DataFrame, key: list[str], who: Column, *more: Column) -> DataFrame:
+    """Per key the number of rows and the smallest and largest holder."""
+    return of.groupBy(*key).agg(F.count("*").alias("n"), F.min(who).alias("first"), F.max(who).alias("last"), *more)
+
+
+def spans(docs: DataFrame) -> DataFrame:
+    """Shared chunks and shared stretches of ``MIN_RUN`` bytes: (id, hash, kind, a, b, gone: it is not the first one). Runs jobs when called."""
+    shared = posts(docs, counts=True).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+    found = stored(posts(docs).join(_sized(shared), "key", "left_semi"), "anchors")
+    who = F.struct("id", "hash", "at")
+    alike = stored(_differ(found, ["key", "around"], who, F.min("kind").alias("kind")).drop("last"), "alike")
+    gone = (who != F.col("first")).alias("gone")
+    out = [_meet(found, alike.where("n > 1").drop("kind"), ["key", "around"]).select("id", "hash", "kind", "a", "b", gone)]
+
+    several = stored(alike.where(F.col("kind") > CHUNK).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    ends = _meet(alike.where(F.col("kind") > CHUNK).select("key", "kind", "first.*"), several, ["key"])
+    ends = ends.groupBy("id", "hash").agg(F.collect_set(F.struct("at", "kind")).alias("hits"))  # one text's own
+    parts = stored(_ends(docs, stored(ends, "ends")), "parts")
+    alike = stored(_differ(parts, ["key", "around"], who, F.min(F.struct("id", "hash", "at", "w", "a", "b")).alias("one")), "alike")
+    more = _meet(parts, alike.where("first <> last").select("key", "around", "n", "first"), ["key", "around"])
+    out.append(more.select("id", "hash", F.lit(LATE).alias("kind"), F.array_min("a").alias("a"), F.array_max("b").alias("b"), gone))
+
+    several = stored(alike.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    each = _meet(alike.select("key", "one"), several, ["key"]).select("one.id", "one.hash", F.explode(F.arrays_zip("one.w", "one.a", "one.b")).alias("z"))
+    each = stored(each.select("id", "hash", F.col("z.w").alias("w"), F.col("z.a").alias("a"), F.col("z.b").alias("b")).distinct(), "each")
+    who = F.struct("id", "hash", "a")
+    twice = stored(_differ(each, ["w"], who).where("first <> last").drop("last"), "twice")
+    out.append(_meet(each, twice, ["w"]).select("id", "hash", F.lit(LATE).alias("kind"), "a", "b", (who != F.col("first")).alias("gone")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """Repeated passages to the byte: (id, hash, repeat_bytes, removed_bytes, longest_run, cuts), one row per text. Runs jobs when called."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, h, spans in zip(*(c.to_pylist() for c in batch.columns)):
-                every, gone = merged([(s["a"], s["b"]) for s in spans]), merged([(s["a"], s["b"]) for s in spans if s["gone"]])
+            for i, h, found in zip(*(c.to_pylist() for c in batch.columns)):
+                pieces = sorted((s["a"], s["b"], s["gone"]) for s in found if s["kind"] == CHUNK)
+                runs = [(a, b) for a, b in merged([(a, b) for a, b, _ in pieces]) if b - a >= MIN_RUN]
+                kept = [(s["a"], s["b"], s["gone"]) for s in found if s["kind"] != CHUNK]
+                at = 0
+                for a, b, gone in pieces:
+                    while at < len(runs) and runs[at][1] <= a:
+                        at += 1
+                    if at < len(runs) and runs[at][0] <= a:
+                        kept.append((a, b, gone))
+                if not kept:
+                    continue
+                every, gone = merged([(a, b) for a, b, _ in kept]), merged([(a, b) for a, b, g in kept if g])
                 sizes = [b - a for a, b in every]
                 out.append((i, h, sum(sizes), sum(b - a for a, b in gone), max(sizes), [x for ab in gone for x in ab]))
             columns = list(zip(*out)) if out else [[]] * 6
@@ -315,25 +397,16 @@ def passages(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
             names = ["id", "hash", "repeat_bytes", "removed_bytes", "longest_run", "cuts"]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
-    grouped = found.where("place >= 0").groupBy("id", "hash").agg(F.collect_list(F.struct("start", "size", _is_first().alias("first"))).alias("chunks"))  # one text's own
-    whole = grouped.mapInArrow(runs, _SPAN)
-    hit = F.struct("start", F.col("origin.start").alias("there"), "size")
-    pairs = found.where(~_is_first()).groupBy("id", "hash", F.col("origin.id").alias("oid"), F.col("origin.hash").alias("ohash")).agg(F.collect_set(hit).alias("hits"))
-    pairs = stored(pairs, "anchor-pairs")
-    ids = _sized(pairs.select("id", "hash").unionByName(pairs.select(F.col("oid").alias("id"), F.col("ohash").alias("hash"))).distinct())
-    texts = stored(_texts(docs).join(ids, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"]), "anchor-texts")
-    origins = texts.select(F.col("id").alias("oid"), F.col("hash").alias("ohash"), F.col("text").alias("other"))
-    both = pairs.join(texts, ["id", "hash"]).join(origins, ["oid", "ohash"]).select("id", "hash", "oid", "ohash", "hits", "text", "other")
-    spans = whole.unionByName(both.mapInArrow(extend, _SPAN)).distinct()
-    per_text = spans.groupBy("id", "hash").agg(F.collect_list(F.struct("a", "b", "gone")).alias("spans"))  # one text's own
+    per_text = spans(docs).groupBy("id", "hash").agg(F.collect_set(F.struct("kind", "a", "b", "gone")).alias("spans"))  # one text's own
     return per_text.mapInArrow(sums, "id long, hash long, repeat_bytes long, removed_bytes long, longest_run long, cuts array<int>")
 
 
-def without_passages(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+def without_passages(docs: DataFrame) -> DataFrame:
     """``docs`` with every repeated passage but its first occurrence cut out of ``text``, to the byte. Runs the search when called."""
-    gone = passages(docs, min_run).where(F.col("removed_bytes") > 0).where(F.col("id") > _NO_ID)
-    gone = stored(gone.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), F.col("cuts").alias("_cuts")), "passages")
-    marked = docs.join(gone, (docs["doc_id"] == gone["_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_hash"]), "left").drop("_id", "_hash")
+    gone = passages(docs).where(F.col("removed_bytes") > 0).where(F.col("id") > _NO_ID)
+    own, digest, cuts = free_names(docs, "id", "hash", "cuts")
+    gone = stored(gone.select(F.col("id").alias(own), F.col("hash").alias(digest), F.col("cuts").alias(cuts)), "passages")
+    marked = docs.join(gone, (docs["doc_id"] == gone[own]) & (F.xxhash64(docs["text"].cast("string")) == gone[digest]), "left").drop(own, digest)
     at, names = docs.columns.index("text"), docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
