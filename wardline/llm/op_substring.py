@@ -116,10 +116,11 @@ _NO_ID = -(1 << 63)
 CHUNK, LATE, EARLY = 0, 1, 2
 _ROOM = MIN_RUN - ANCHOR + 1
 _SIDES = {LATE: (0, _ROOM // 2), EARLY: (_ROOM // 2, _ROOM)}
-#: Parts of one side that are compared before single stretches.
+#: Parts of one side that are compared before single stretches; the first ``PARTS`` are of the late side.
 PARTS = 4
+_BORDERS = np.array([[p[0], p[-1] + 1] for side in _SIDES.values() for p in np.array_split(np.arange(*side), PARTS)])
 _POST = "key long, around long, id long, hash long, kind int, at int, a int, b int"
-_PART = "key long, around long, id long, hash long, at int, w array<long>, a array<int>, b array<int>"
+_EACH = "w long, id long, hash long, a int, b int"
 
 
 def _whole(heads: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,16 +141,29 @@ def _chunk_posts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...
     return W.span_hashes(data, starts, ends), np.zeros(len(starts), np.uint64), W.rows_of(first), np.full(len(starts), CHUNK), starts, starts, ends
 
 
-def _side_posts(data: np.ndarray, offsets: np.ndarray, kind: int, anchors: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-    """For each anchor with stretches on this side: digest of what they all hold, digest of all of them, and their union."""
-    at, _, first = anchors
-    rows, (low, high) = W.rows_of(first), _SIDES[kind]
+def _around(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Which anchors have stretches that begin ``low`` to ``high`` - 1 bytes before them, and the least and the most of that room in the text."""
     least, most = np.maximum(low, at + MIN_RUN - offsets[rows + 1]), np.minimum(high - 1, at - offsets[rows])
-    some = least <= most
-    at, rows, least, most = at[some], rows[some], least[some], most[some]
-    key = W.mix(W.span_hashes(data, at - low, at - high + 1 + MIN_RUN) + W.U64(kind))
+    some = np.flatnonzero(least <= most)
+    return some, least[some], most[some]
+
+
+def _side_posts(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray, at: np.ndarray, kind: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each anchor with such stretches: digest of what they all hold, digest of all of them, row, kind, place, and their union."""
+    some, least, most = _around(data, offsets, rows, at, *borders.T)
+    rows, at, kind, (low, high) = rows[some], at[some], kind[some], borders[some].T
+    key = W.mix(W.span_hashes(data, at - low, at - high + 1 + MIN_RUN) + (low * 256 + high).astype(np.uint64))
     around = W.mix(W.span_hashes(data, at - most, at - least + MIN_RUN) + (least * 256 + most).astype(np.uint64))
-    return key, around, rows, np.full(len(at), kind), at, *_whole(_heads(data), at - most, at - least + MIN_RUN)
+    return key, around, rows, kind, at, *_whole(_heads(data), at - most, at - least + MIN_RUN)
+
+
+def _posted(found: list[tuple[np.ndarray, ...]], ids: np.ndarray, digests: np.ndarray, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
+    key, around, rows, kind, at, a, b = (np.concatenate(x) for x in zip(*found))
+    places = [pa.array((x - offsets[rows]).astype(np.int32)) for x in (at, a, b)]
+    columns = [pa.array(key.view(np.int64)), pa.array(around.view(np.int64)), pa.array(ids[rows]), pa.array(digests[rows]), pa.array(kind.astype(np.int32)), *places]
+    out = pa.RecordBatch.from_arrays(columns, names=["key", "around", "id", "hash", "kind", "at", "a", "b"])
+    for lo in range(0, out.num_rows, 50_000):
+        yield out.slice(lo, 50_000)
 
 
 def posts(docs: DataFrame, anchored: bool = True, counts: bool = False) -> DataFrame:
@@ -162,19 +176,14 @@ def posts(docs: DataFrame, anchored: bool = True, counts: bool = False) -> DataF
             for row, end, data, offsets in W.chunks(batch.column(2)):
                 found = [_chunk_posts(data, offsets)]
                 if anchored:
-                    at = windows(data, offsets)
-                    found += [_side_posts(data, offsets, kind, at) for kind in _SIDES]
-                key, around, rows, kind, at, a, b = (np.concatenate(x) for x in zip(*found))
-                key, around, shift = key.view(np.int64), around.view(np.int64), offsets[rows]
+                    at, _, first = windows(data, offsets)
+                    for kind, borders in _SIDES.items():
+                        found.append(_side_posts(data, offsets, W.rows_of(first), at, np.full(len(at), kind), np.tile(borders, (len(at), 1))))
                 if counts:
-                    key, n = np.unique(key, return_counts=True)
+                    key, n = np.unique(np.concatenate([f[0] for f in found]).view(np.int64), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n, pa.int64())], names=["key", "n"])
-                    continue
-                places = [pa.array(x.astype(np.int32)) for x in (kind, at - shift, a - shift, b - shift)]
-                columns = [pa.array(key), pa.array(around), pa.array(ids[row:end][rows]), pa.array(digests[row:end][rows]), *places]
-                out = pa.RecordBatch.from_arrays(columns, names=["key", "around", "id", "hash", "kind", "at", "a", "b"])
-                for lo in range(0, out.num_rows, 50_000):
-                    yield out.slice(lo, 50_000)
+                else:
+                    yield from _posted(found, ids[row:end], digests[row:end], offsets)
 
     return _texts(docs).mapInArrow(read, "key long, n long" if counts else _POST)
 
@@ -282,15 +291,12 @@ def deduplicated(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     return marked.mapInArrow(cut, docs.schema)
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The union of spans as disjoint spans in order."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of the spans as disjoint spans in order; spans that touch are one."""
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order]) if len(b) else b
+    head = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]])) if len(a) else np.zeros(0, np.int64)
+    return a[head], b[np.append(head[1:] - 1, len(b) - 1)] if len(head) else b
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -306,69 +312,70 @@ def _meet(rows: DataFrame, one: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(hot, key).unionByName(cold)
 
 
-def _parts(data: np.ndarray, hits: list[tuple[int, int]]) -> Iterator[tuple]:
-    """For each anchor and side of one text, by parts of the side: digest of what the part's stretches all hold, of all of them, and each."""
-    stretch = W.span_hashes(data, at := np.arange(max(0, len(data) - MIN_RUN + 1)), at + MIN_RUN).view(np.int64)
-    a, b = (x.astype(np.int32) for x in _whole(_heads(data), at, at + MIN_RUN))
-    places = [(s, int(p[0]), int(p[-1])) for s, kind in hits for p in np.array_split(np.arange(*_SIDES[kind]), PARTS)]
-    places = [(s, low, high, max(low, s + MIN_RUN - len(data)), min(high, s)) for s, low, high in places]
-    places = [p for p in places if p[3] <= p[4]]
-    if not places:
-        return
-    s, low, high, least, most = np.array(places).T
-    keys = W.mix(W.span_hashes(data, s - low, s - high + MIN_RUN) + low.astype(np.uint64) + W.U64(1000)).view(np.int64)
-    around = W.mix(W.span_hashes(data, s - most, s - least + MIN_RUN) + (least * 256 + most).astype(np.uint64)).view(np.int64)
-    for k, r, i, lo, hi in zip(keys.tolist(), around.tolist(), s.tolist(), (s - most).tolist(), (s - least + 1).tolist()):
-        yield k, r, i, stretch[lo:hi], a[lo:hi], b[lo:hi]
+def _again(docs: DataFrame, wanted: DataFrame, each: bool) -> DataFrame:
+    """Rows for the wanted (id, hash, at, kind) from their texts read again.
 
-
-def _ends(docs: DataFrame, ends: DataFrame) -> DataFrame:
-    """The parts around the given anchors (id, hash, hits), from their texts read again."""
+    Without ``each`` the ``PARTS`` of a side, their number as kind; with it every stretch of a part: (w, id, hash, a, b).
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "around", "id", "hash", "at", "w", "a", "b"]
-        kinds = [*[pa.int64()] * 4, pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
         for batch in batches:
-            for i, h, text, hits in zip(*(c.to_pylist() for c in batch.columns)):
-                data = np.frombuffer(text.encode(), np.uint8)
-                rows = [(k, r, i, h, *rest) for k, r, *rest in _parts(data, sorted((x["at"], x["kind"]) for x in hits))]
-                for lo in range(0, len(rows), 5_000):
-                    columns = zip(*rows[lo : lo + 5_000])
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
+            ids, digests = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            bounds, hits = batch.column(3).offsets.to_numpy(), batch.column(3).values
+            places, kinds = (hits.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            for row, end, data, offsets in W.chunks(batch.column(2)):
+                here = slice(bounds[row], bounds[end])
+                rows = np.repeat(np.arange(end - row), np.diff(bounds[row : end + 1]))
+                at, kind = places[here] + offsets[rows], kinds[here]
+                if not each:
+                    kind = ((kind - LATE)[:, None] * PARTS + np.arange(PARTS)).ravel()
+                    rows, at = np.repeat(rows, PARTS), np.repeat(at, PARTS)
+                    yield from _posted([_side_posts(data, offsets, rows, at, kind, _BORDERS[kind])], ids[row:end], digests[row:end], offsets)
+                    continue
+                some, least, most = _around(data, offsets, rows, at, *_BORDERS[kind].T)
+                n = most - least + 1
+                rows, begin = np.repeat(rows[some], n), np.repeat(at[some] - most - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                w = W.span_hashes(data, begin, begin + MIN_RUN).view(np.int64)
+                a, b = (pa.array((x - offsets[rows]).astype(np.int32)) for x in _whole(_heads(data), begin, begin + MIN_RUN))
+                out = pa.RecordBatch.from_arrays([pa.array(w), pa.array(ids[row:end][rows]), pa.array(digests[row:end][rows]), a, b], names=["w", "id", "hash", "a", "b"])
+                for lo in range(0, out.num_rows, 50_000):
+                    yield out.slice(lo, 50_000)
 
-    texts = _texts(docs).join(ends, ["id", "hash"]).select("id", "hash", "text", "hits")
-    return texts.mapInArrow(read, _PART)
+    wanted = stored(wanted.groupBy("id", "hash").agg(F.collect_set(F.struct("at", "kind")).alias("hits")), "wanted")  # one text's own
+    texts = _texts(docs).join(wanted, ["id", "hash"]).select("id", "hash", "text", "hits")
+    return texts.mapInArrow(read, _EACH if each else _POST)
 
 
-def _differ(of: DataFrame, key: list[str], who: Column, *more: Column) -> DataFrame:
+def _alike(rows: DataFrame, key: list[str], who: Column, *more: Column) -> DataFrame:
     """Per key the number of rows and the smallest and largest holder."""
-    return of.groupBy(*key).agg(F.count("*").alias("n"), F.min(who).alias("first"), F.max(who).alias("last"), *more)
+    return stored(rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(who).alias("first"), F.max(who).alias("last"), *more), "alike")
+
+
+def _open(alike: DataFrame) -> DataFrame:
+    """(id, hash, at, kind): first holders of what is shared in surroundings that differ."""
+    several = stored(alike.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    return _meet(alike.select("key", "kind", "first.*"), several, ["key"]).select("id", "hash", "at", "kind")
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """Shared chunks and shared stretches of ``MIN_RUN`` bytes: (id, hash, kind, a, b, gone: it is not the first one). Runs jobs when called."""
     shared = posts(docs, counts=True).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
     found = stored(posts(docs).join(_sized(shared), "key", "left_semi"), "anchors")
-    who = F.struct("id", "hash", "at")
-    alike = stored(_differ(found, ["key", "around"], who, F.min("kind").alias("kind")).drop("last"), "alike")
-    gone = (who != F.col("first")).alias("gone")
-    out = [_meet(found, alike.where("n > 1").drop("kind"), ["key", "around"]).select("id", "hash", "kind", "a", "b", gone)]
-
-    several = stored(alike.where(F.col("kind") > CHUNK).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "several")
-    ends = _meet(alike.where(F.col("kind") > CHUNK).select("key", "kind", "first.*"), several, ["key"])
-    ends = ends.groupBy("id", "hash").agg(F.collect_set(F.struct("at", "kind")).alias("hits"))  # one text's own
-    parts = stored(_ends(docs, stored(ends, "ends")), "parts")
-    alike = stored(_differ(parts, ["key", "around"], who, F.min(F.struct("id", "hash", "at", "w", "a", "b")).alias("one")), "alike")
-    more = _meet(parts, alike.where("first <> last").select("key", "around", "n", "first"), ["key", "around"])
-    out.append(more.select("id", "hash", F.lit(LATE).alias("kind"), F.array_min("a").alias("a"), F.array_max("b").alias("b"), gone))
+    who, kind = F.struct("id", "hash", "at"), F.min("kind").alias("kind")
+    late, gone = F.lit(LATE).alias("kind"), (who != F.col("first")).alias("gone")
 
-    several = stored(alike.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "several")
-    each = _meet(alike.select("key", "one"), several, ["key"]).select("one.id", "one.hash", F.explode(F.arrays_zip("one.w", "one.a", "one.b")).alias("z"))
-    each = stored(each.select("id", "hash", F.col("z.w").alias("w"), F.col("z.a").alias("a"), F.col("z.b").alias("b")).distinct(), "each")
+    alike = _alike(found, ["key", "around"], who, kind)
+    chunks = _meet(found, alike.where("n > 1").drop("kind", "last"), ["key", "around"]).select("id", "hash", "kind", "a", "b", gone)
+
+    parts = stored(_again(docs, _open(alike.where(F.col("kind") > CHUNK)), each=False), "parts")
+    alike = _alike(parts, ["key", "around"], who, kind)
+    sides = _meet(parts, alike.where("first <> last").drop("kind", "last"), ["key", "around"]).select("id", "hash", late, "a", "b", gone)
+
+    each = stored(_again(docs, _open(alike), each=True).distinct(), "each")
     who = F.struct("id", "hash", "a")
-    twice = stored(_differ(each, ["w"], who).where("first <> last").drop("last"), "twice")
-    out.append(_meet(each, twice, ["w"]).select("id", "hash", F.lit(LATE).alias("kind"), "a", "b", (who != F.col("first")).alias("gone")))
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    alike = _alike(each, ["w"], who).where("first <> last").drop("last")
+    single = _meet(each, alike, ["w"]).select("id", "hash", late, "a", "b", (who != F.col("first")).alias("gone"))
+    return chunks.unionByName(sides).unionByName(single)
 
 
 def passages(docs: DataFrame) -> DataFrame:
@@ -377,27 +384,29 @@ def passages(docs: DataFrame) -> DataFrame:
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, h, found in zip(*(c.to_pylist() for c in batch.columns)):
-                pieces = sorted((s["a"], s["b"], s["gone"]) for s in found if s["kind"] == CHUNK)
-                runs = [(a, b) for a, b in merged([(a, b) for a, b, _ in pieces]) if b - a >= MIN_RUN]
-                kept = [(s["a"], s["b"], s["gone"]) for s in found if s["kind"] != CHUNK]
-                at = 0
-                for a, b, gone in pieces:
-                    while at < len(runs) and runs[at][1] <= a:
-                        at += 1
-                    if at < len(runs) and runs[at][0] <= a:
-                        kept.append((a, b, gone))
-                if not kept:
+            bounds, packed = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
+            a, chunk, gone = packed >> 18, packed & 2 > 0, packed & 1 > 0
+            b = a + (packed >> 2 & 0xFFFF)
+            for k, (i, h) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                here = slice(bounds[k], bounds[k + 1])
+                x, y, piece, late = a[here], b[here], chunk[here], gone[here]
+                begins, ends = merged(x[piece], y[piece])
+                at = np.searchsorted(begins, x, side="right") - 1
+                kept = ~piece
+                kept[piece] = (ends - begins)[at[piece]] >= MIN_RUN
+                if not kept.any():
                     continue
-                every, gone = merged([(a, b) for a, b, _ in kept]), merged([(a, b) for a, b, g in kept if g])
-                sizes = [b - a for a, b in every]
-                out.append((i, h, sum(sizes), sum(b - a for a, b in gone), max(sizes), [x for ab in gone for x in ab]))
+                (begins, ends), cuts = merged(x[kept], y[kept]), merged(x[kept & late], y[kept & late])
+                out.append((i, h, int((ends - begins).sum()), int((cuts[1] - cuts[0]).sum()), int((ends - begins).max()), np.stack(cuts, 1).ravel().tolist()))
             columns = list(zip(*out)) if out else [[]] * 6
             kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())]
             names = ["id", "hash", "repeat_bytes", "removed_bytes", "longest_run", "cuts"]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
-    per_text = spans(docs).groupBy("id", "hash").agg(F.collect_set(F.struct("kind", "a", "b", "gone")).alias("spans"))  # one text's own
+    # one text's own spans, each in a long: a span is a chunk or the stretches of one side, shorter than 64 KB
+    flags = F.when(F.col("kind") == CHUNK, 2).otherwise(0) + F.col("gone").cast("int")
+    packed = F.shiftleft(F.col("a").cast("long"), 18) + F.shiftleft(F.col("b") - F.col("a"), 2) + flags
+    per_text = spans(docs).groupBy("id", "hash").agg(F.collect_set(packed).alias("spans"))
     return per_text.mapInArrow(sums, "id long, hash long, repeat_bytes long, removed_bytes long, longest_run long, cuts array<int>")
 
 
