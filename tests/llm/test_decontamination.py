@@ -92,3 +92,12 @@ def test_empty_tables(spark):
     assert D.report(docs.where("false"), bench).count() == 0
     assert D.clean_documents(docs, none).count() == 1
     assert docs.select(D.words(F.lit(None).cast("string"))).first()[0] == []
+
+
+def test_own_columns_may_clash(spark):
+    item = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, f"a {item} b", 7, "x"), (2, "plain", 8, "y")], "doc_id long, text string, Hit_Doc int, hit_starts string")
+    bench = spark.createDataFrame([("i", item)], "item_id string, text string")
+    clean = D.clean_spans(docs, bench)
+    assert clean.columns == docs.columns and {r["text"]: r["hit_starts"] for r in clean.collect()} == {"a b": "x", "plain": "y"}
+    assert D.with_hits(docs, bench).columns == [*docs.columns, "hit_starts_", "hit_items_"] and D.clean_documents(docs, bench).count() == 1

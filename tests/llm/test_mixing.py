@@ -118,3 +118,9 @@ def test_odd_rows(spark):
     assert out.columns == docs.columns and out.count() == 5  # every rate is one
     assert M.mixed(docs.where("false"), none, {"x": 1.0}).count() == 0
     assert M.wanted(M.Classifier(["a", "b"], None, None, None, None), {"a": 1, "zzz": 3}).tolist() == [1.0, 0.0]
+
+
+def test_own_columns_may_clash(spark):
+    docs = spark.createDataFrame([(k, "one two three", k, "d") for k in range(4)], "doc_id long, text string, draw int, domain string")
+    out = M.mixed(docs, docs.select("doc_id", "domain"), {"d": 1.0})
+    assert out.columns == docs.columns and out.where("draw <> doc_id").count() == 0

@@ -232,9 +232,9 @@ def test_own_columns_may_clash(spark):
     rnd = random.Random(13)
     p = words(rnd, 80)
     rows = [(i, f"{words(rnd, 9)} {p}", 1, "h", [2]) for i in range(3)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, id_ int, HASH_ string, cuts_ array<int>")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id int, HASH string, cuts array<int>")
     for clean in (S.without_passages(docs), S.deduplicated(docs)):
-        assert clean.columns == docs.columns and clean.count() == 3 and clean.select("id_", "HASH_", "cuts_").distinct().count() == 1
+        assert clean.columns == docs.columns and clean.count() == 3 and clean.select("id", "HASH", "cuts").distinct().count() == 1
 
 
 def test_a_hot_passage_is_found_in_every_holder(spark):

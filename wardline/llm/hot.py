@@ -23,8 +23,8 @@ def join_to_one(rows: DataFrame, one: DataFrame, key: list[str], share: int = SH
 
 
 def free_names(docs: DataFrame, *names: str) -> list[str]:
-    """Column names like the given ones that ``docs`` does not have (names are the same in any case)."""
-    taken, end = {c.lower() for c in docs.columns}, "_"
+    """The names, with as many underscores behind them as none of ``docs``'s columns has (names are the same in any case)."""
+    taken, end = {c.lower() for c in docs.columns}, ""
     while any((n + end).lower() in taken for n in names):
         end += "_"
     return [n + end for n in names]

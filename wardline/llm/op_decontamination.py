@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.llm.hot import free_names
 from wardline.llm.registry import query, table
 
 #: Words of a window.
@@ -122,12 +123,18 @@ def covered(starts: str) -> Column:
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """``docs`` with ``hit_starts`` and ``hit_items`` (null where clean)."""
+    """``docs`` with ``hit_starts`` and ``hit_items`` (null where clean); names that ``docs`` has already get underscores."""
+    return _marked(docs, benchmark, window, broadcast_windows)[0]
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, window: int, broadcast_windows: int = BROADCAST_WINDOWS) -> tuple[DataFrame, str]:
+    """``with_hits`` and the name of its column of hit starts."""
+    doc, digest, starts, items = free_names(docs, "hit_doc", "hit_hash", "hit_starts", "hit_items")
     found = hits(docs, benchmark, window, broadcast_windows).select(
-        F.col("doc_id").alias("hit_doc"), F.col("text_hash").alias("hit_hash"), F.col("starts").alias("hit_starts"), F.col("items").alias("hit_items")
+        F.col("doc_id").alias(doc), F.col("text_hash").alias(digest), F.col("starts").alias(starts), F.col("items").alias(items)
     )
-    same = docs["doc_id"].eqNullSafe(found["hit_doc"]) & (F.xxhash64(docs["text"]) == found["hit_hash"])
-    return docs.join(found, same, "left").drop("hit_doc", "hit_hash")
+    same = docs["doc_id"].eqNullSafe(found[doc]) & (F.xxhash64(docs["text"]) == found[digest])
+    return docs.join(found, same, "left").drop(doc, digest), starts
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -153,11 +160,11 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
 
 def clean_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the hit words, and the separators before each of them, cut out of ``text``."""
-    marked = with_hits(docs, benchmark, window)
+    marked, starts = _marked(docs, benchmark, window)
     pieces = F.regexp_extract_all("text", F.lit(f"({MIXED_BREAKS}*{MIXED_LETTERS}+)"), 1)  # one per word, whatever its case
-    kept = F.filter(pieces, lambda p, i: ~F.exists("hit_starts", lambda s: (i >= s["start"]) & (i < s["start"] + s["n"])))
+    kept = F.filter(pieces, lambda p, i: ~F.exists(starts, lambda s: (i >= s["start"]) & (i < s["start"] + s["n"])))
     cut = F.concat(F.array_join(kept, ""), F.regexp_extract("text", f"({MIXED_BREAKS}*)$", 1))
-    return marked.withColumn("text", F.when(F.col("hit_starts").isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
+    return marked.withColumn("text", F.when(F.col(starts).isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
 
 
 _W = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"

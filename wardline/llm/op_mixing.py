@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.llm.hot import free_names
 from wardline.llm import words as W
 from wardline.llm.op_quality import text_counts
 from wardline.llm.registry import query, table
@@ -281,7 +282,7 @@ def mixed(docs: DataFrame, domains: DataFrame, targets: Mapping[str, float], bud
             for lo in range(0, len(copies), 1000):
                 yield batch.select(names).take(pa.array(np.repeat(np.arange(lo, min(lo + 1000, len(copies))), copies[lo : lo + 1000])))
 
-    return docs.withColumn("_draw", F.when(F.col("doc_id").isNull(), 0.5).otherwise(draw)).mapInArrow(repeat, docs.schema)
+    return docs.withColumn(free_names(docs, "draw")[0], F.when(F.col("doc_id").isNull(), 0.5).otherwise(draw)).mapInArrow(repeat, docs.schema)
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
